@@ -20,9 +20,44 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_index(write_tokens(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json")))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    from .mixing import taken
+
+    return taken(_documents(spark, sf_dir))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences of 4096 ids."""
+    from .packing import pack_documents, read_pieces
+
+    path = vocabulary("word_bpe_49k.json")
+    return read_pieces(pack_documents(_documents(spark, sf_dir), path), path)
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and the verdict of every page's url."""
+    from .url_filter import judge
+
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a TIFF and read back: lengths and digests of the payload and of the file."""
+    from .tiff import media_features, store_texts
+
+    return media_features(store_texts(_documents(spark, sf_dir)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_mixing, op3_packing, op7_url_filters, op9_media_columns)}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_output": op1_token_output}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what DuckDB can express; tests hold the others against brute force."""
+    from . import url_filter
+
+    return {"op7_url_filters": url_filter.oracle()}
