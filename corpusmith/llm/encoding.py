@@ -18,8 +18,9 @@ import pyarrow.compute as pc
 END_ID = 2
 #: Words in the memo of a Python worker (some 250 bytes each); beyond that it starts anew.
 MEMO_WORDS = 1_000_000
-MARKS = frozenset(".,;:!?")
-RUNS = ("  ", "\n\n", " \n", "\n ")
+#: A mark behind a letter or digit is a pre-token of its own; GLUED in front of it stands for "no space before".
+MARKED, GLUED = r"([\pL\pN])([,.;:!?]+)( |\n|$)", "\x01"
+ODD = ("  ", "\n\n", " \n", "\n ", GLUED)
 
 
 class Encoder:
@@ -60,26 +61,11 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Put words (distinct, none in the memo) into the memo."""
-        memo, marked, bare = self.memo, [], {}
-        for w in words:
-            a = w[:-1]
-            if w[-1:] in MARKS and a[1 if a[:1] in " \n" else 0 :].isalpha():
-                marked.append(w)
-                if a not in memo:
-                    bare[a] = None
-                if w[-1] not in memo:
-                    bare[w[-1]] = None
-            else:
-                bare[w] = None
-        todo = list(bare)
-        for i in range(0, len(todo), 20_000):
-            ids = self._whole(todo[i : i + 20_000])
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            ids = self._whole(part)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._put(todo[i : i + 20_000], sizes, np.fromiter((x for y in ids for x in y), np.int32, int(sizes.sum())))
-        if marked := [w for w in marked if w not in memo]:
-            parts = np.array([i for w in marked for i in (memo[w[:-1]], memo[w[-1]])], np.int64)
-            took = self.size[parts]
-            self._put(marked, took[::2] + took[1::2], self._gather(self.start[parts], took))
+            self._put(part, sizes, np.fromiter((x for y in ids for x in y), np.int32, int(sizes.sum())))
 
     def _gather(self, starts: np.ndarray, took: np.ndarray, flat: np.ndarray | None = None) -> np.ndarray:
         total = np.cumsum(took)
@@ -103,11 +89,12 @@ class Encoder:
         if not n:
             return np.empty(0, np.int32), np.zeros(1, np.int64)
         odd = np.zeros(n, bool)
-        for s in (*RUNS, *self.special):
+        for s in (*ODD, *self.special):
             odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         whole = np.flatnonzero(odd)
         plain = pc.if_else(pa.array(odd), "", texts) if len(whole) else texts
-        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        parted = pc.replace_substring_regex(plain, MARKED, rf"\1 {GLUED}\2\3")
+        lists = pc.split_pattern(pc.replace_substring(parted, "\n", " \n"), " ")
         at = lists.offsets.to_numpy().astype(np.int64)
         at -= at[0]
         coded = lists.flatten().dictionary_encode()
@@ -117,8 +104,8 @@ class Encoder:
             first = at[:-1]  # a text's first word has no space before it
             own, place = np.unique(index[first], return_inverse=True)
             index[first] = len(words) + place
-            words = [w if w[:1] == "\n" else " " + w for w in words] + [words[i] for i in own.tolist()]
-        places = self._look(words)
+            words = [w if w[:1] in ("\n", GLUED) else " " + w for w in words] + [words[i] for i in own.tolist()]
+        places = self._look([w[1:] if w[:1] == GLUED else w for w in words])
         # What the library made of odd texts, and the end of each text, go behind the words.
         more = [*map(np.int32, self._whole([texts[i].as_py() for i in whole.tolist()])), np.array([] if end_id is None else [end_id], np.int32)]
         sizes = np.fromiter(map(len, more), np.int64, len(more))
