@@ -2,11 +2,16 @@
 
 import json
 import os
+import sys
 import time
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+sys.path.insert(0, ROOT := str(Path(__file__).resolve().parent))
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [os.environ.get("PYTHONPATH")])])  # for the Python workers
 
-from corpusmith import catalog
+from pyspark.sql import SparkSession  # noqa: E402
+
+from corpusmith import catalog  # noqa: E402
 
 NAMES = ["distill_density", "assign_clusters", "cluster_extremes", "cluster_stats", "quota_inter", "quota_low_topup", "topup_union", "threshold_mask", "unigram_loss", "loss_topn", "top_words", "word_count_hist", "dataset_bytes", "split_ratio", "extract_text", "shard_locate", "kmeans_fit", "embed_stub"]
 

@@ -1,8 +1,14 @@
 import os
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
+ROOT = str(Path(__file__).resolve().parent.parent)
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [os.environ.get("PYTHONPATH")])])  # Python workers import the package
+os.environ["PYSPARK_PYTHON"] = sys.executable
+
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
