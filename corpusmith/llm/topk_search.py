@@ -4,11 +4,13 @@ Every task builds shards of a bounded number of words: sorted term hashes (64 bi
 lists, document lengths. Document frequencies, the number of documents and their mean length are counted over all shards, so
 scores are global and the shards' results merge exactly.
 
-Within a shard a query is answered as in WAND: its lists are read in descending order of their greatest impact until
-the sum of the bounds of the unread ones falls below the threshold, the k-th best partial score. Then a document
-is a candidate only if its partial score and the unread lists' maxima in its block of ``BLOCK`` documents reach
-that threshold; candidates are scored in full, the others cannot enter the top k. Thresholds are carried from shard to
-shard within a task. Bounds are compared with a slack far above rounding, so nothing is lost.
+Within a shard a batch of queries is answered as in block-max WAND: the lists of rare terms are read first and give
+partial scores; the k-th best of them, or the floor carried from the task's earlier shards, is the threshold. Of
+frequent terms' lists, a query reads only those blocks of ``BLOCK`` documents whose maxima, with the block's
+best partial score, can reach its threshold; a block's live queries are scored by one matrix product. What then
+reaches the k-th best is a candidate and scored in full, in double precision. Whole texts are long queries, so the
+work that can be pruned is in the blocks, not in the order of single postings. Bounds are compared with a slack
+far above rounding, so nothing is lost.
 
 Queries are sent to the executors in chunks of at most ``MAX_TERMS`` terms, as many chunks as there are.
 
@@ -35,9 +37,10 @@ from .near_dedup import SPACE
 
 K1, B, K = 1.2, 0.75, 10
 #: Words and documents after which a shard is closed, documents of a block, terms of a chunk of queries.
-SHARD_WORDS, SHARD_DOCS, BLOCK, MAX_TERMS = 4_000_000, 60_000, 64, 2_000_000
-#: Lists between two looks at the threshold; slack of bounds; decimals of a score.
-STRIDE, SLACK, DIGITS = 8, 1e-7, 6
+SHARD_WORDS, SHARD_DOCS, BLOCK, MAX_TERMS = 4_000_000, 60_000, 128, 2_000_000
+#: A term in at least one of OFTEN documents is frequent; scores that a batch of queries holds; relative slack of bounds
+#: (sums of frequent terms are in single precision); decimals of a score.
+OFTEN, CELLS, SLACK, DIGITS = 16, 500_000, 1e-4, 6
 HEAD = struct.Struct("<qqqq")
 
 
@@ -89,56 +92,71 @@ class Shard:
         if mean_length is None:
             return
         self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * self.length / mean_length))[self.docs])
-        self.best = np.maximum.reduceat(self.impact, self.ptr[:-1]) if t else np.zeros(0)
-        # Block maxima: runs of one term and block.
         term = np.repeat(np.arange(t), np.diff(self.ptr))
-        block = self.docs // BLOCK
-        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if p else np.zeros(0, np.int64)
-        self.block, self.block_max = block[new], np.maximum.reduceat(self.impact, new) if p else np.zeros(0)
-        self.block_ptr = np.searchsorted(new, self.ptr)
+        # Frequent terms as columns of documents, and their maxima in every block.
+        often = np.flatnonzero(np.diff(self.ptr) >= max(OFTEN, n // OFTEN))
+        self.column = np.full(t, -1)
+        self.column[often] = np.arange(len(often))
         self.blocks = -(-n // BLOCK)
+        self.dense = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
+        use = self.column[term] >= 0
+        self.dense[self.docs[use], self.column[term[use]]] = self.impact[use]
+        self.block_max = self.dense.reshape(self.blocks, BLOCK, len(often)).max(1)
         # The documents' own terms, for candidates.
         order = np.argsort(self.docs, kind="stable")
         self.own_term, self.own_impact = term[order], self.impact[order]
         self.own_ptr = np.searchsorted(self.docs[order], np.arange(n + 1))
-        self.sums, self.weight = np.zeros(n), np.zeros(t)
-
-    def search(self, term: np.ndarray, weight: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Documents (ordinals) and scores of the top k, and of what else ties with the last, among those that reach
-        ``floor``. ``term``: ordinals of the query's terms that the shard has."""
-        order = np.argsort(-weight * self.best[term], kind="stable")
-        term, weight = term[order], weight[order]
-        bound = weight * self.best[term]
-        rest = np.concatenate([np.cumsum(bound[::-1])[::-1], [0.0]])
-        sums, i, least = self.sums, 0, floor
-        while i < len(term):
-            for j in range(i, min(i + STRIDE, len(term))):
-                a, z = self.ptr[term[j]], self.ptr[term[j] + 1]
-                sums[self.docs[a:z]] += weight[j] * self.impact[a:z]
-            i = min(i + STRIDE, len(term))
-            if len(sums) > k:
-                least = max(least, float(np.partition(sums, len(sums) - k)[len(sums) - k]))
-            if rest[i] < least - SLACK:
-                break
-        more = np.zeros(self.blocks)
-        for j in range(i, len(term)):
-            a, z = self.block_ptr[term[j]], self.block_ptr[term[j] + 1]
-            more[self.block[a:z]] += weight[j] * self.block_max[a:z]
-        cand = np.flatnonzero(sums > 0)
-        cand = cand[sums[cand] + more[cand // BLOCK] >= least - SLACK]
-        self.sums[:] = 0
-        if not len(cand):
-            return cand, np.zeros(0)
-        # Scored in full, each document by its own terms in one fixed order.
-        self.weight[term] = weight
-        sizes = self.own_ptr[cand + 1] - self.own_ptr[cand]
-        ends = np.cumsum(sizes)
-        flat = np.repeat(self.own_ptr[cand] - (ends - sizes), sizes) + np.arange(ends[-1])
-        scores = np.add.reduceat(self.weight[self.own_term[flat]] * self.own_impact[flat], ends - sizes)
-        self.weight[term] = 0
-        scores = np.round(scores, DIGITS)
-        top = np.lexsort((self.ids[cand], -scores))[:k]
-        return cand[top], scores[top]
+        self.weight = np.zeros(t)
+
+    def search(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, floors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For queries (the terms from ``at[q]`` to ``at[q + 1]``, by ordinal, with their weights): number of the
+        query, documents and scores of its top k among those that reach its floor. Queries without any are left out."""
+        step = max(4, min(256, CELLS // max(1, self.blocks * BLOCK)))
+        for a in range(0, len(at) - 1, step):
+            ends = at[a : a + step + 1]
+            yield from self._some(a, ends - ends[0], term[ends[0] : ends[-1]], weight[ends[0] : ends[-1]], k, floors[a : a + step])
+
+    def _some(self, first: int, at: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, floors: np.ndarray):
+        g, n, width = len(at) - 1, len(self.ids), self.blocks * BLOCK
+        if not len(term) or not n:
+            return
+        query = np.repeat(np.arange(g), np.diff(at))
+        column = self.column[term]
+        rare = np.flatnonzero(column < 0)
+        # Rare lists are read in full.
+        begin, size = self.ptr[term[rare]], np.diff(self.ptr)[term[rare]]
+        total = np.cumsum(size)
+        flat = np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+        sums = np.bincount(np.repeat(query[rare] * width, size) + self.docs[flat], np.repeat(weight[rare], size) * self.impact[flat], g * width)
+        sums = sums.astype(np.float64).reshape(g, width)
+        # Of the frequent ones, only blocks whose maxima can reach the threshold.
+        w = np.zeros((g, self.dense.shape[1]), np.float32)
+        w[query[column >= 0], column[column >= 0]] = weight[column >= 0]
+        least = floors.copy()
+        if n > k:
+            least = np.maximum(least, np.partition(sums, width - k, 1)[:, width - k])
+        slack = SLACK * np.maximum(1, least)
+        best = w @ self.block_max.T + sums.reshape(g, self.blocks, BLOCK).max(2)
+        live = best >= (least - slack)[:, None]
+        for b in np.flatnonzero(live.any(0)):
+            q = np.flatnonzero(live[:, b])
+            sums[q, b * BLOCK : (b + 1) * BLOCK] += w[q] @ self.dense[b * BLOCK : (b + 1) * BLOCK].T
+        if n > k:
+            least = np.maximum(least, np.partition(sums, width - k, 1)[:, width - k])
+        found = (sums > 0) & (sums >= (least - SLACK * np.maximum(1, least))[:, None])
+        owner, docs = np.nonzero(found)
+        ends = np.searchsorted(owner, np.arange(g + 1))
+        for q in np.unique(owner):
+            cand, a, z = docs[ends[q] : ends[q + 1]], at[q], at[q + 1]
+            # Scored in full, each document by its own terms in one fixed order.
+            self.weight[term[a:z]] = weight[a:z]
+            size = self.own_ptr[cand + 1] - self.own_ptr[cand]
+            stop = np.cumsum(size)
+            flat = np.repeat(self.own_ptr[cand] - (stop - size), size) + np.arange(stop[-1])
+            scores = np.round(np.add.reduceat(self.weight[self.own_term[flat]] * self.own_impact[flat], stop - size), DIGITS)
+            self.weight[term[a:z]] = 0
+            top = np.lexsort((self.ids[cand], -scores))[:k]
+            yield first + int(q), cand[top], scores[top]
 
 
 def index(docs: DataFrame) -> DataFrame:
@@ -240,15 +258,12 @@ def _answer(shards: DataFrame, part: DataFrame, mean: float, k: int) -> DataFram
                 place = np.searchsorted(shard.terms, h)
                 place[place == len(shard.terms)] = 0
                 here = shard.terms[place] == h
-                for q in range(len(qids)):
-                    a, z = at[q], at[q + 1]
-                    use = here[a:z]
-                    docs, scores = shard.search(place[a:z][use], w[a:z][use], k, floors[q])
-                    if len(docs):
-                        rows.append((np.full(len(docs), qids[q]), shard.ids[docs], scores))
-                        tops[q] = sorted(tops[q] + scores.tolist(), reverse=True)[:k]
-                        if len(tops[q]) == k:
-                            floors[q] = tops[q][-1]
+                ends = np.concatenate([[0], np.cumsum(here)])[at]
+                for q, docs, scores in shard.search(ends, place[here], w[here], k, floors):
+                    rows.append((np.full(len(docs), qids[q]), shard.ids[docs], scores))
+                    tops[q] = sorted(tops[q] + scores.tolist(), reverse=True)[:k]
+                    if len(tops[q]) == k:
+                        floors[q] = tops[q][-1]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["qid", "match_id", "score"])
 
