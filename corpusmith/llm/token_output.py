@@ -7,7 +7,7 @@ column is the block file itself), because Spark's commit protocol then holds on
 cost only their own tasks.
 
 Edge cases: a null or empty text is the end id alone; a null ``doc_id`` sorts first and stays null; rows with
-one ``doc_id`` each count as a document, in the order of their texts; an empty table gives no block; other columns
+one ``doc_id`` each count as a document, in the order of their texts' hashes; an empty table gives no block; other columns
 of the input are ignored.
 """
 
@@ -131,7 +131,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = END_ID, block_i
         if held:
             yield close()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # The range is over a hash of the text, as a sample of the keys goes to the driver.
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).repartitionByRange("doc_id", "_h")
+    ordered = keyed.sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
     return saved(ordered.mapInArrow(blocks, BLOCKS), "tokens", "zstd")
 
 
