@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,15 +19,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def tune(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of one Arrow batch, so that long texts do not fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator, rows: int = 500, size: int = 8 << 20) -> Iterator:
+    """Arrow batches cut to at most ``rows`` rows and, down to single rows, ``size`` bytes; empty ones are left out.
+
+    Spark bounds what it sends (10,000 rows or 64 MB); the working memory of an operator is bounded here, without
+    a setting of the session.
+    """
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            todo = [batch.slice(i, rows)]
+            while todo:
+                part = todo.pop()
+                if part.nbytes > size and part.num_rows > 1:
+                    half = part.num_rows // 2
+                    todo += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (as in tests) one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local master (as in
+    tests) gets a temporary one; a cluster has to name it, as its machines do not see each other's folders."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="corpusmith-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")

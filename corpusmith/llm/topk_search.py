@@ -4,15 +4,19 @@ Every task builds shards of a bounded number of words: sorted term hashes (64 bi
 lists, document lengths. Document frequencies, the number of documents and their mean length are counted over all shards, so
 scores are global and the shards' results merge exactly.
 
-Within a shard a batch of queries is answered as in block-max WAND: the lists of rare terms are read first and give
-partial scores; the k-th best of them, or the floor carried from the task's earlier shards, is the threshold. Of
-frequent terms' lists, a query reads only those blocks of ``BLOCK`` documents whose maxima, with the block's
-best partial score, can reach its threshold; a block's live queries are scored by one matrix product. What then
-reaches the k-th best is a candidate and scored in full, in double precision. Whole texts are long queries, so the
-work that can be pruned is in the blocks, not in the order of single postings. Bounds are compared with a slack
-far above rounding, so nothing is lost.
-
-Queries are sent to the executors in chunks of at most ``MAX_TERMS`` terms, as many chunks as there are.
+Within a shard a batch of queries is answered by block-max WAND on blocks of ``BLOCK`` documents, which all lists share: a
+cursor is moved by blocks, and the pivot test is made for a block. The lists of rare terms (a few postings in
+a block, hardly longer than their maxima) give exact partial scores; the maxima of the frequent terms' lists in a block, with its
+best partial score, bound what a document of it can reach. A query reads a block's frequent postings only if the bound
+reaches its threshold: the k-th best score so far, in this shard or (as the floor that is carried on) in the shards
+before. Blocks come in rounds, those with the highest bounds first, and thresholds rise between rounds. A block's live
+queries are scored by one matrix product. What reaches the k-th best is a candidate and scored in full, in double precision.
+Bounds are compared with a slack far above rounding, so nothing is lost. Whole texts are long queries, for which the
+classic order of single postings skips next to nothing (a test counts both).
+
+Shards belong to one of ``groups`` groups (of ``GROUP_SHARDS`` at most), and queries to chunks of about ``MAX_TERMS`` terms, as many as there are. A
+task has one chunk and the shards of one group, which pass by one at a time; it carries the floors along and
+emits a query's k best once, so hits are queries x groups x k. Queries and shards reach it by the shuffle, nothing by the driver.
 
 Edge cases: a document without words, or with a null text, is never found, and as a query finds nothing; rows with
 a null id are neither queries nor found; equal scores are ordered by id; repeated rows are found each; documents that share
@@ -32,16 +36,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, tune
+from .common import saved, sliced
 from .near_dedup import SPACE
 
 K1, B, K = 1.2, 0.75, 10
 #: Words and documents after which a shard is closed, documents of a block, terms of a chunk of queries.
-SHARD_WORDS, SHARD_DOCS, BLOCK, MAX_TERMS = 4_000_000, 60_000, 128, 2_000_000
+SHARD_WORDS, SHARD_DOCS, BLOCK, MAX_TERMS = 3_000_000, 60_000, 128, 2_000_000
+#: Groups of shards at least, and shards of a group at most, which bound a task.
+GROUPS, GROUP_SHARDS = 8, 64
+#: Rounds in which a shard's blocks are read: the share that each adds.
+ROUNDS = (0.1, 0.3, 1.0)
 #: A term in at least one of OFTEN documents is frequent; scores that a batch of queries holds; relative slack of bounds
 #: (sums of frequent terms are in single precision); decimals of a score.
 OFTEN, CELLS, SLACK, DIGITS = 16, 500_000, 1e-4, 6
-HEAD = struct.Struct("<qqqq")
+#: Documents, terms, postings and bytes of a shard, which follow compressed.
+HEAD, CODEC = struct.Struct("<qqqq"), pa.Codec("zstd", compression_level=1)
 
 
 def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +70,9 @@ def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build(ids: np.ndarray, hashes: np.ndarray, docs: np.ndarray) -> bytes:
-    """A shard's bytes from its documents' ids and its words."""
+    """A shard's bytes from its documents' ids and its words. Documents' numbers in it take 16 bits."""
+    if len(ids) > 1 << 16:
+        raise ValueError("too many documents for a shard")
     order = np.argsort(ids, kind="stable")
     rank = np.empty(len(ids), np.int64)
     rank[order] = np.arange(len(ids))
@@ -71,15 +82,16 @@ def build(ids: np.ndarray, hashes: np.ndarray, docs: np.ndarray) -> bytes:
     ptr = np.searchsorted(term, np.arange(len(terms) + 1, dtype=np.uint64))
     length = np.bincount(rank[docs], minlength=len(ids))
     parts = ids[order].astype("<i8"), length.astype("<i4"), terms.astype("<u8"), ptr.astype("<i4"), doc.astype("<u2"), tf.astype("<u4")
-    return HEAD.pack(len(ids), len(terms), len(key), 0) + b"".join(p.tobytes() for p in parts)
+    raw = b"".join(p.tobytes() for p in parts)
+    return HEAD.pack(len(ids), len(terms), len(key), len(raw)) + CODEC.compress(raw, asbytes=True)
 
 
 class Shard:
     """A shard ready to be searched with global statistics."""
 
     def __init__(self, data: bytes, mean_length: float | None = None):
-        n, t, p, _ = HEAD.unpack_from(data)
-        at = HEAD.size
+        n, t, p, size = HEAD.unpack_from(data)
+        data, at = CODEC.decompress(memoryview(data)[HEAD.size :], size), 0
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -88,11 +100,11 @@ class Shard:
             return out
 
         self.ids, self.length, self.terms = take("<i8", n), take("<i4", n), take("<u8", t)
-        self.ptr, self.docs, tf = take("<i4", t + 1).astype(np.int64), take("<u2", p).astype(np.int64), take("<u4", p)
+        self.ptr, self.docs, tf = take("<i4", t + 1).astype(np.int64), take("<u2", p), take("<u4", p)
         if mean_length is None:
             return
         self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * self.length / mean_length))[self.docs])
-        term = np.repeat(np.arange(t), np.diff(self.ptr))
+        term = np.repeat(np.arange(t, dtype=np.int32), np.diff(self.ptr))
         # Frequent terms as columns of documents, and their maxima in every block.
         often = np.flatnonzero(np.diff(self.ptr) >= max(OFTEN, n // OFTEN))
         self.column = np.full(t, -1)
@@ -107,6 +119,11 @@ class Shard:
         self.own_term, self.own_impact = term[order], self.impact[order]
         self.own_ptr = np.searchsorted(self.docs[order], np.arange(n + 1))
         self.weight = np.zeros(t)
+        self.counted: list[int] | None = None  # postings of the queries' terms here, and those that were read
+
+    def count(self) -> None:
+        """From now on, keep count of postings (for tests)."""
+        self.counted, self.filled = [0, 0], (self.dense.reshape(self.blocks, BLOCK, -1) > 0).sum(1)
 
     def search(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, floors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For queries (the terms from ``at[q]`` to ``at[q + 1]``, by ordinal, with their weights): number of the
@@ -132,18 +149,32 @@ class Shard:
         # Of the frequent ones, only blocks whose maxima can reach the threshold.
         w = np.zeros((g, self.dense.shape[1]), np.float32)
         w[query[column >= 0], column[column >= 0]] = weight[column >= 0]
-        least = floors.copy()
-        if n > k:
-            least = np.maximum(least, np.partition(sums, width - k, 1)[:, width - k])
-        slack = SLACK * np.maximum(1, least)
-        best = w @ self.block_max.T + sums.reshape(g, self.blocks, BLOCK).max(2)
-        live = best >= (least - slack)[:, None]
-        for b in np.flatnonzero(live.any(0)):
-            q = np.flatnonzero(live[:, b])
-            sums[q, b * BLOCK : (b + 1) * BLOCK] += w[q] @ self.dense[b * BLOCK : (b + 1) * BLOCK].T
-        if n > k:
-            least = np.maximum(least, np.partition(sums, width - k, 1)[:, width - k])
-        found = (sums > 0) & (sums >= (least - SLACK * np.maximum(1, least))[:, None])
+        tiles = sums.reshape(g, self.blocks, BLOCK)
+        peaks = tiles.max(2)
+        best, least = w @ self.block_max.T + peaks, floors
+        order = np.argsort(-(best - floors[:, None]).max(0), kind="stable")
+        if self.counted is not None:
+            self.counted[0] += int(size.sum()) + int(((w > 0) @ self.filled.T).sum())
+            self.counted[1] += int(size.sum())
+        done = 0
+        for share in ROUNDS:
+            least = np.maximum(least, _kth(sums, peaks, k))
+            live = best >= (least - SLACK * np.maximum(1, least))[:, None]
+            stop = min(self.blocks, done + max(1, round(share * self.blocks)))
+            for b in order[done:stop]:
+                q = np.flatnonzero(live[:, b])
+                if not len(q):
+                    continue
+                tiles[q, b] += w[q] @ self.dense[b * BLOCK : (b + 1) * BLOCK].T
+                peaks[q, b] = tiles[q, b].max(1)
+                if self.counted is not None:
+                    self.counted[1] += int(((w[q] > 0) @ self.filled[b]).sum())
+            done = stop
+        least = np.maximum(least, _kth(sums, peaks, k))
+        least -= SLACK * np.maximum(1, least)
+        found = np.zeros(sums.shape, bool)
+        near = np.nonzero(peaks >= least[:, None])
+        found.reshape(tiles.shape)[near] = (tiles[near] > 0) & (tiles[near] >= least[near[0], None])
         owner, docs = np.nonzero(found)
         ends = np.searchsorted(owner, np.arange(g + 1))
         for q in np.unique(owner):
@@ -159,23 +190,28 @@ class Shard:
             yield first + int(q), cand[top], scores[top]
 
 
+def _kth(sums: np.ndarray, peaks: np.ndarray, k: int) -> np.ndarray:
+    """A bound that k documents of each query reach: the k-th best of its blocks' best ones, or of all if blocks are few."""
+    if peaks.shape[1] >= k:
+        return np.partition(peaks, peaks.shape[1] - k, 1)[:, -k]
+    return np.partition(sums, sums.shape[1] - k, 1)[:, -k] if sums.shape[1] >= k else np.zeros(len(sums))
+
+
 def index(docs: DataFrame) -> DataFrame:
-    """The shards of all documents as a written table: ``n, words, payload``."""
+    """The shards of all documents as a written table: ``slot`` (to deal them out by), ``n, words, payload``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hashes, owner, n, words = [], [], [], 0, 0
+        ids, hashes, owner, n, words, shard = [], [], [], 0, 0, TaskContext.get().partitionId()
 
         def close() -> pa.RecordBatch:
-            nonlocal ids, hashes, owner, n, words
-            data = build(np.concatenate(ids), np.concatenate(hashes), np.concatenate(owner))
-            found = np.unique(np.concatenate(owner))
-            out = pa.RecordBatch.from_arrays([pa.array([len(found)], pa.int64()), pa.array([words], pa.int64()), pa.array([data], pa.binary())], ["n", "words", "payload"])
-            ids, hashes, owner, n, words = [], [], [], 0, 0
+            nonlocal ids, hashes, owner, n, words, shard
+            docs = np.concatenate(owner)
+            data, found = build(np.concatenate(ids), np.concatenate(hashes), docs), len(np.unique(docs))
+            out = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([found], pa.int64()), pa.array([words], pa.int64()), pa.array([data], pa.binary())], ["slot", "n", "words", "payload"])
+            ids, hashes, owner, n, words, shard = [], [], [], 0, 0, shard + 1
             return out
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             h, d = term_hashes(batch.column(1))
             ids.append(batch.column(0).to_numpy())
             hashes.append(h)
@@ -186,16 +222,15 @@ def index(docs: DataFrame) -> DataFrame:
         if n:
             yield close()
 
-    tune(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
-    return saved(known.mapInArrow(run, "n long, words long, payload binary"), "index", "zstd")
+    return saved(known.mapInArrow(run, "slot int, n long, words long, payload binary"), "index", "none")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """``qid, h, tf``: the distinct words of each query; a query's rows with one id count together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             h, d = term_hashes(batch.column(1))
             ids = batch.column(0).to_numpy()[d] if len(h) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h.view(np.int64))], ["qid", "h"])
@@ -204,20 +239,21 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return known.mapInArrow(run, "qid long, h long").groupBy("qid", "h").agg(F.count("*").alias("tf"))
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = K, groups: int = GROUPS) -> DataFrame:
     """``doc_id, rank, match_id, score``: the k best documents of ``docs`` for every text of ``queries``."""
-    spark = docs.sparkSession
     shards = index(docs)
-    n, words = shards.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    n, words, count = shards.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.count("*")).first()
+    groups = max(groups, -(-count // GROUP_SHARDS))
     mean = words / n if n else 1.0
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                s = Shard(data)
-                yield pa.RecordBatch.from_arrays([pa.array(s.terms.view(np.int64)), pa.array(np.diff(s.ptr))], ["h", "n"])
+            own = [(s.terms, np.diff(s.ptr)) for s in map(Shard, batch.column(0).to_pylist())]
+            if own:
+                terms, at = np.unique(np.concatenate([t for t, _ in own]), return_inverse=True)
+                sums = np.bincount(at.reshape(-1), np.concatenate([c for _, c in own]), len(terms)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(sums)], ["h", "n"])
 
-    tune(spark, 4)
     terms = saved(query_terms(queries), "terms")
     counts = shards.select("payload").mapInArrow(frequencies, "h long, n long")
     df = counts.join(terms.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.sum("n").alias("df"))
@@ -226,49 +262,76 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     weighted = saved(weighted.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("h", "w"))).alias("t")).select("qid", "t.h", "t.w"), "queries")
     total = weighted.agg(F.coalesce(F.sum(F.size("h")), F.lit(0))).first()[0]
     chunks = max(1, -(-total // MAX_TERMS))
-    found = None
-    for c in range(chunks):
-        part = weighted.filter(F.pmod(F.xxhash64("qid"), F.lit(chunks)) == c) if chunks > 1 else weighted
-        hits = saved(_answer(shards, part, mean, k), "hits")
-        found = hits if found is None else found.unionByName(hits)
+    # Queries go to every group, shards to every chunk; a task gets its queries first.
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    asked = weighted.select(F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int").alias("chunk"), every(groups).alias("g"), F.lit(0).alias("kind"), "qid", "h", "w", F.lit(None).cast("binary").alias("payload"))
+    held = shards.select(every(chunks).alias("chunk"), (F.col("slot") % groups).alias("g"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("qid"), F.lit(None).cast("array<bigint>").alias("h"), F.lit(None).cast("array<double>").alias("w"), "payload")
+    both = asked.unionByName(held).withColumn("key", F.col("chunk") * groups + F.col("g")).drop("chunk", "g")
+    dealt = both.repartitionById(chunks * groups, F.col("key")).sortWithinPartitions("key", "kind", "qid")
+    found = saved(dealt.mapInArrow(_answer(mean, k), "qid long, match_id long, score double"), "hits")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "match_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select(F.col("qid").alias("doc_id"), "rank", "match_id", "score")
 
 
-def _answer(shards: DataFrame, part: DataFrame, mean: float, k: int) -> DataFrame:
-    """``qid, match_id, score`` of every shard for a chunk of queries, which is bounded and goes with the task."""
-    table = part.toArrow()
-    qids = table.column("qid").to_numpy()
-    h, w = table.column("h").combine_chunks(), table.column("w").combine_chunks()
-    if isinstance(h, pa.ChunkedArray):
-        h, w = (pa.concat_arrays(x.chunks) if x.num_chunks else pa.array([], x.type) for x in (h, w))
-    at, h, w = h.offsets.to_numpy().astype(np.int64), h.values.to_numpy().view(np.uint64), w.values.to_numpy().astype(float)
-    sent = shards.sparkSession.sparkContext.broadcast((qids, at, h, w))
+class Chunk:
+    """A chunk of queries, with the best that each has found so far."""
+
+    def __init__(self, parts: list[pa.RecordBatch], k: int):
+        self.qids = np.concatenate([p.column("qid").to_numpy() for p in parts])
+        lists = [p.column("h") for p in parts]
+        self.at = np.concatenate([[0], np.cumsum(np.concatenate([pc.list_value_length(x).to_numpy() for x in lists]))])
+        self.h = np.concatenate([x.flatten().to_numpy() for x in lists]).view(np.uint64)
+        self.w = np.concatenate([p.column("w").flatten().to_numpy() for p in parts])
+        self.k, self.floors = k, np.zeros(len(self.qids))
+        self.best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def see(self, shard: Shard) -> None:
+        if not len(shard.terms):
+            return
+        place = np.searchsorted(shard.terms, self.h)
+        place[place == len(shard.terms)] = 0
+        here = shard.terms[place] == self.h
+        ends = np.concatenate([[0], np.cumsum(here)])[self.at]
+        for q, docs, scores in shard.search(ends, place[here], self.w[here], self.k, self.floors):
+            ids = shard.ids[docs]
+            if q in self.best:
+                ids, scores = np.concatenate([self.best[q][0], ids]), np.concatenate([self.best[q][1], scores])
+                top = np.lexsort((ids, -scores))[: self.k]
+                ids, scores = ids[top], scores[top]
+            self.best[q] = ids, scores
+            if len(ids) == self.k:
+                self.floors[q] = scores[-1]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.best:
+            own = np.repeat(self.qids[list(self.best)], [len(i) for i, _ in self.best.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(np.concatenate(c)) for c in zip(*self.best.values()))], ["qid", "match_id", "score"])
+
+
+def _answer(mean: float, k: int):
+    """What a task does: for each key, gather its queries, let its shards pass, emit the hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, at, h, w = sent.value
-        floors = np.zeros(len(qids))
-        tops: list[list[float]] = [[] for _ in qids]
+        key, parts, chunk = None, [], None
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                shard, rows = Shard(data, mean), []
-                if not len(shard.terms):
-                    continue
-                place = np.searchsorted(shard.terms, h)
-                place[place == len(shard.terms)] = 0
-                here = shard.terms[place] == h
-                ends = np.concatenate([[0], np.cumsum(here)])[at]
-                for q, docs, scores in shard.search(ends, place[here], w[here], k, floors):
-                    rows.append((np.full(len(docs), qids[q]), shard.ids[docs], scores))
-                    tops[q] = sorted(tops[q] + scores.tolist(), reverse=True)[:k]
-                    if len(tops[q]) == k:
-                        floors[q] = tops[q][-1]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["qid", "match_id", "score"])
-
-    tune(shards.sparkSession, 1)
-    return shards.select("payload").mapInArrow(run, "qid long, match_id long, score double")
+            keys, kinds = batch.column("key").to_numpy(), batch.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(keys)] if len(keys) else []
+            for a, z in zip(cuts, cuts[1:]):
+                if keys[a] != key:
+                    if chunk:
+                        yield from chunk.rows()
+                    key, parts, chunk = keys[a], [], None
+                if kinds[a] == 0:
+                    parts.append(batch.slice(a, z - a))
+                elif parts or chunk:
+                    chunk, parts = chunk or Chunk(parts, k), []
+                    for i in range(a, z):
+                        chunk.see(Shard(batch.column("payload")[i].as_buffer(), mean))
+        if chunk:
+            yield from chunk.rows()
+
+    return run
 
 
 def oracle(every: int = 50, k: int = K) -> str:

@@ -56,6 +56,27 @@ def test_encoder_equals_the_library(path):
         assert ids[at[k] : at[k + 1]].tolist() == [*t.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+def test_encoder_equals_the_library_on_any_text(path):
+    """All texts of sf0.1, and random Unicode, with a memo that starts anew several times."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    rng = np.random.default_rng(11)
+    kinds = [(32, 127), (160, 1400), (0x2000, 0x2100), (0x3040, 0x3100), (0x4E00, 0x4F00), (0x1F600, 0x1F640), (9, 14), (32, 33)]
+    wild = ["".join(chr(rng.integers(*kinds[k])) for k in rng.choice(8, rng.integers(0, 60), p=[0.5, 0.1, 0.03, 0.03, 0.03, 0.03, 0.03, 0.25])) for _ in range(3000)]
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist() + wild
+    enc = Encoder(path, memo_bytes=1 << 20)
+    for i in range(0, len(texts), 1500):
+        part = texts[i : i + 1500]
+        ids, at = enc.encode(pa.array(part, pa.string()).slice(1), 2)
+        want = [[*e.ids, 2] for e in t.encode_batch([x or "" for x in part[1:]], add_special_tokens=False)]
+        assert np.diff(at).tolist() == list(map(len, want))
+        assert ids.tolist() == [x for w in want for x in w]
+        assert enc.words.nbytes < 8 << 20
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 15, 16, 17, 31])
 def test_bit_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 70_001)
@@ -82,7 +103,48 @@ def test_targets_stop_at_twice_a_source():
 
 def test_permutation():
     for n in (1, 2, 3, 100, 4097):
-        assert sorted(mixing.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
+        assert sorted(mixing.Permutation(n, 5).at(np.arange(n)).tolist()) == list(range(n))
+
+
+def test_permutation_is_inverted():
+    for n in (1, 2, 3, 100, 4097):
+        p = mixing.Permutation(n, 5)
+        assert [p.place(v) for v in p.at(np.arange(n))[:50]] == list(range(min(n, 50)))
+    big = mixing.Permutation((1 << 23) + 5, [42, 0, 1])
+    assert big.at(np.array([big.place((1 << 23) + 4)])).tolist() == [(1 << 23) + 4]
+
+
+@pytest.mark.parametrize("size, target", [(10, 3.0), (10, 17.0), (11, 11.0), (97, 150.0), (1000, 1999.0), (4 * (1 << 22) + 3, 1.5 * 4 * (1 << 22)), (4 * (1 << 23) + 1, 9.0)])
+def test_the_last_slot_makes_the_target_exact(size, target):
+    """At every number of blocks, also where there was a switch once."""
+    plan = mixing.Plan(["a"], [size], [target], 4, 42)
+    n, slots = plan.blocks[0], plan.slots[0]
+    took = 0
+    for turn in range(-(-slots // n)):
+        at = mixing.Permutation(n, plan.key(0, turn)).at(np.arange(min(n, slots - turn * n)))
+        words = np.where(at == n - 1, size - (n - 1) * 4, 4)
+        if (turn + 1) * n >= slots:
+            words[-1] = min(words[-1], plan.last[0])
+        took += int(words.sum())
+    assert took == min(round(target), 2 * size)
+
+
+def test_mixing_of_many_sources_and_shards(spark, monkeypatch):
+    rows = [row(i, "word " * (i % 40), source=f"s{i % 300}" if i % 7 else None) for i in range(3000)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    want = sorted((r.doc_id, r.taken) for r in mixing.taken(docs).collect())
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 10)
+    monkeypatch.setattr(mixing, "SHARD", 16)
+    monkeypatch.setattr(mixing, "DRAWN", 1500)
+    found = mixing.taken(docs).collect()
+    assert sorted((r.doc_id, r.taken) for r in found) == want  # what is taken does not depend on shards or joins
+    per, target = {}, {}
+    for r in found:
+        per[r.source] = per.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+    assert len(per) == 301 and all(abs(per[s] - t) <= 1 for s, t in target.items())
+    shards = mixing.mix(docs)[0].groupBy("shard").count().count()
+    assert shards > 20
 
 
 def test_packing(odd, none):
@@ -118,11 +180,133 @@ def test_grammar_scores_clauses():
     assert score("preidiot") == 0
 
 
+def plain_factors(classes, reach=toxicity.REACH, lone=toxicity.LONE):
+    """The grammar's factor of every word, from the rules as they are stated."""
+    out, seen = [], 0
+    for i, c in enumerate(classes):
+        near = lambda kind, stop=None: any(classes[j] == kind and stop not in classes[j:i] for j in range(max(0, i - reach), i))  # noqa: B023, E731
+        f = 0.0
+        if c == toxicity.INSULT:
+            f = lone if not seen else 1.0
+            f *= 1.25 / lone if near(toxicity.TARGET, toxicity.REPORT) else 1.0
+            f *= 0.6 if near(toxicity.NEGATION) else 1.0
+            f *= 0.75 if toxicity.REPORT in classes[:i] else 1.0
+            seen += 1
+        elif c == toxicity.TARGET:
+            f = float(near(toxicity.THREAT))
+        out.append(f)
+    return out
+
+
+def test_composed_machine_equals_the_rules():
+    rng, machine = np.random.default_rng(5), toxicity.grammar()
+    for _ in range(2000):
+        classes = rng.choice(6, rng.integers(0, 14), p=[0.3, 0.2, 0.1, 0.2, 0.1, 0.1]).tolist()
+        assert machine.run(classes) == pytest.approx(plain_factors(classes)), classes
+
+
+def test_a_lone_insult_is_the_weakest_clause():
+    g = toxicity.Grammar({"idio": 4.0}, {})
+    score = lambda t: sum(c[2] for c in g.clauses(t))
+    assert score("the word idiot") < score("he was killing her") and score("the word idiot") < score("you idiot") and score("the word idiot") * 2 < score("idiot idiots")
+    assert score("she stabbed him") == score("they will murder you") > 0 == score("a killing floor") == score("time kills")
+
+
+def test_grammar_and_words_alone_on_held_out_rows(spark):
+    """The grammar costs no accuracy where labels know only words, and tells apart what words cannot."""
+    from corpusmith.llm import queries as Q
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels_ = Q._documents(spark, sf), Q._labels(spark, sf)
+    truth = {r.doc_id: r.toxic for r in labels_.collect()}
+    accuracy, models = [], []
+    for machine in (None, toxicity.words_alone()):
+        models.append(toxicity.fit(docs, labels_, machine=machine))
+        rows = [r for r in toxicity.score(docs, models[-1]).collect() if r.held_out and r.doc_id in truth]
+        accuracy.append(np.mean([r.predicted == truth[r.doc_id] for r in rows]))
+    assert accuracy[0] >= accuracy[1] - 0.01
+    word = max(models[0].lexicon.stems, key=models[0].lexicon.stems.get)
+    texts = [f"you are {word}", f"the word {word}", f"he said it was not {word}"]
+    with_grammar, without = ([m.score(t) for t in texts] for m in models)
+    assert with_grammar[0] > with_grammar[1] > with_grammar[2]
+    assert max(without) - min(without) < 0.05
+
+
+def plain_minimum(rows, y, scale, c, steps=60_000):
+    """The least of the hinge-loss objective, by projected gradient ascent on the dual."""
+    x = np.zeros((len(rows), len(scale) + 1))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r]
+    x[:, -1] = 1
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha, rate = np.zeros(len(rows)), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(steps):
+        alpha = np.clip(alpha + rate * (1 - q @ alpha), 0, c)
+    w = x.T @ (alpha * y)
+    return w @ w / 2 + c * np.maximum(0, 1 - y * (x @ w)).sum(), x
+
+
+def test_dual_coordinate_descent_finds_the_minimum():
+    rng = np.random.default_rng(9)
+    rows = [np.sort(rng.choice(30, rng.integers(1, 8), replace=False)) for _ in range(40)]
+    y, scale = rng.choice([-1.0, 1.0], 40), rng.normal(0, 1, 30)
+    best, x = plain_minimum(rows, y, scale, 0.3)
+    w = quality.descend(rows, y, scale, 0.3, 400)
+    assert w @ w / 2 + 0.3 * np.maximum(0, 1 - y * (x @ w)).sum() == pytest.approx(best, rel=1e-3)
+
+
+def test_quality_indicators_tell_words_and_shapes():
+    a, b, c = (set(quality.indicators(pa.array([t]))[0].tolist()) for t in ("the cat sat", "the dog sat", "The cat, sat"))
+    words = lambda s: {i for i in s if i >= quality.BUCKETS * len(quality.SHARES)}
+    assert len(words(a)) == 5 and words(a) == words(c) and words(a) != words(b) and a - words(a) == b - words(b) != c - words(c)
+    ids, at = quality.indicators(pa.array(["x y", None, "", "the cat sat"]).slice(1))
+    assert at.tolist()[:3] == [0, 0, 0] and set(ids.tolist()) == a
+
+
+def plain_labels(net, text):
+    """The network's mean probabilities over a text's bytes, one step after the other in double precision."""
+    h, states = net.h, {}
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for d, data in (("f", text), ("b", text[::-1])):
+        s, own = np.zeros(h), []
+        E, U, b = net.p["E" + d], net.p["U" + d], net.p["b" + d]
+        for byte in data:
+            e, r = E[byte], s @ U + b
+            z, q = sig(e[:h] + r[:h]), sig(e[h : 2 * h] + r[h : 2 * h])
+            s = z * s + (1 - z) * np.tanh(e[2 * h :] + q * r[2 * h :])
+            own.append(s)
+        states[d] = own
+    p = []
+    for f, b in zip(states["f"], states["b"][::-1]):
+        o = np.exp(np.concatenate([f, b]) @ net.p["V"] + net.p["c"])
+        p.append(o / o.sum())
+    return np.mean(p, 0)
+
+
+def test_reading_in_step_equals_reading_byte_by_byte(monkeypatch):
+    net = language_id.Network(["a", "b", "c"], hidden=5, seed=3)
+    texts = ["The CAT, and the dog!", "x", "", None, "ñandú 12 über", "a" * 447, "wörter " * 60, "12 !", "\u0301\u0302"]
+    found = language_id.Reader(net).probabilities(pa.array(["skipped", *texts]).slice(1))
+    clean = [" ".join("".join(ch if ch.isalpha() else " " for ch in t.lower()).split()).encode() if t else b"" for t in texts[:-1]] + [b""]
+    for t, p in zip(clean, found):
+        assert p == pytest.approx(plain_labels(net, t), abs=1e-4) if t else not p.any()
+    # Longer texts are read in windows: each position knows CONTEXT bytes beyond its window's core.
+    long = "wörter über alles " * 100
+    monkeypatch.setattr(language_id, "STEP", 3)
+    p = language_id.Reader(net).probabilities(pa.array([long, "x"]))
+    assert p[0] == pytest.approx(plain_labels(net, long.strip().encode()), abs=5e-3)
+    assert p[0] == pytest.approx(language_id.Reader(net).probabilities(pa.array([long]))[0], abs=1e-6)
+
+
 def test_language_edges(spark, odd, none):
     docs = spark.createDataFrame([row(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 40)], SCHEMA)
     net = language_id.fit(docs, steps=60)
     found = {(r.doc_id, r.lang_pred) for r in language_id.predict(odd, net).collect()}
     assert {(1, "und"), (2, "und"), (3, "und"), (10, "und")} <= found
+    marks = spark.createDataFrame([row(1, "\u0301 \u0302")], SCHEMA)  # marks alone are no letters
+    assert [(r.lang_pred, r.score) for r in language_id.predict(marks, net).collect()] == [("und", 0.0)]
+    many = spark.createDataFrame([row(i, f"{chr(97 + i % 20) * 4} text {i}", f"l{i % 230:03}") for i in range(460)], SCHEMA)
+    assert len(language_id.fit(many, folds=None, steps=2).languages) == 230  # no language is left out
     assert language_id.predict(none, net).count() == 0
     assert language_id.fit(none) is None
     assert {r.lang_pred for r in language_id.predict(odd, None).collect()} == {"und"}
@@ -158,7 +342,15 @@ def test_near_dedup(odd, none):
     assert {(r.n_shingles, r.component_id, r.kept) for r in by[None]} == {(1, 4, False), (0, None, True)}
     assert near_dedup.near_duplicates(none).count() == 0
     kept = near_dedup.deduplicated(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 6, 8, 9, 10]
+    # Of the rows without an id, the one whose set a row with an id has goes, as near_duplicates says.
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 8, 9, 10]
+
+
+def test_one_row_of_an_id_survives_whatever_the_partitions(spark):
+    rows = [row(1, "alpha beta gamma delta"), row(1, "quite another text here"), row(1, "alpha beta gamma delta", "de"), row(2, "third text of all")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = [sorted(map(tuple, near_dedup.deduplicated(docs.repartition(n)).collect())) for n in (1, 3, 5)]
+    assert kept[0] == kept[1] == kept[2] and [r[0] for r in kept[0]] == [1, 2]
 
 
 def test_clusters_beyond_one_task(spark, monkeypatch):
@@ -262,6 +454,91 @@ def test_search(spark, odd, none):
     assert topk_search.search(none, none).count() == 0 and topk_search.search(odd, none.limit(0)).count() == 0
 
 
+def test_search_in_many_groups_and_chunks(spark, monkeypatch):
+    """Shards, groups and chunks do not change a result; hits are bounded by queries x groups x k."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(9)
+    queries = docs.filter("doc_id % 10 = 0")
+    want = sorted(map(tuple, topk_search.search(docs, queries, 5).collect()))
+    for name, value in (("MAX_TERMS", 300), ("GROUPS", 2), ("GROUP_SHARDS", 3)):
+        monkeypatch.setattr(topk_search, name, value)
+    seen = []
+    keep = topk_search.saved
+    monkeypatch.setattr(topk_search, "saved", lambda df, name, *a: seen.append((name, keep(df, name, *a))) or seen[-1][1])
+    assert sorted(map(tuple, topk_search.search(docs, queries, 5, 2).collect())) == want
+    tables = dict(seen)
+    shards = tables["index"].count()
+    assert shards == 9 and tables["hits"].count() <= queries.count() * -(-shards // 3) * 5
+
+
+def classic(lists, weight, k):
+    """Block-max WAND in the classic order of single postings: scores of the k best, and how many postings were read."""
+    import heapq
+
+    size = 32
+    maxima = {t: {b: max(x for d, x in p if d // size == b) for b in {d // size for d, _ in p}} for t, p in lists.items()}
+    at, best, read, top = dict.fromkeys(lists, 0), [], 0, {t: max(x for _, x in p) for t, p in lists.items()}
+    while True:
+        live = sorted((lists[t][i][0], t) for t, i in at.items() if i < len(lists[t]))
+        least, total, pivot = best[0] if len(best) == k else 0.0, 0.0, None
+        for d, t in live:
+            total += weight[t] * top[t]
+            if total > least:
+                pivot = d
+                break
+        if pivot is None:
+            return sorted(best, reverse=True), read
+        here = [t for d, t in live if d <= pivot]
+        if sum(weight[t] * maxima[t].get(pivot // size, 0.0) for t in here) <= least:
+            for t in here:  # no document of the block up to the next list can be better
+                stop = min([pivot // size * size + size, *(d for d, t2 in live if d > pivot)])
+                while at[t] < len(lists[t]) and lists[t][at[t]][0] < max(stop, pivot + 1):
+                    at[t] += 1
+            continue
+        score = 0.0
+        for t in here:
+            while at[t] < len(lists[t]) and lists[t][at[t]][0] < pivot:
+                at[t] += 1
+            if at[t] < len(lists[t]) and lists[t][at[t]][0] == pivot:
+                score += weight[t] * lists[t][at[t]][1]
+                at[t] += 1
+                read += 1
+        heapq.heappush(best, score)
+        if len(best) > k:
+            heapq.heappop(best)
+
+
+def test_pruning_next_to_the_classic_order():
+    """Postings that are read: both skip most for short queries of a rare and common words, and hardly any for whole texts."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).slice(0, 3000)
+    h, d = topk_search.term_hashes(table.column(1).combine_chunks())
+    lengths = np.bincount(d, minlength=3000)
+    s = topk_search.Shard(topk_search.build(np.arange(3000), h, d), lengths.mean())
+    s.count()
+    df = np.diff(s.ptr)
+    idf = np.log(1 + (3000 - df + 0.5) / (df + 0.5))
+    often, rare = np.argsort(-df)[:30], np.flatnonzero((df > 20) & (df < 60))
+    share = {}
+    for kind in ("short", "long"):
+        mine = other = held = 0
+        for q in range(6):
+            terms = np.sort(np.array([rare[q * 7], *often[[q, 29 - q]]])) if kind == "short" else np.sort(s.own_term[s.own_ptr[q * 40 + 6] : s.own_ptr[q * 40 + 7]])
+            floor = np.zeros(1)
+            s.counted = [0, 0]
+            for _ in range(2):  # the second time with the floor that a task carries on
+                s.counted = [0, 0]
+                found = list(s.search(np.array([0, len(terms)]), terms, idf[terms], 10, floor))
+                floor = np.array([found[0][2][-1]])
+            lists = {t: list(zip(s.docs[s.ptr[t] : s.ptr[t + 1]].tolist(), s.impact[s.ptr[t] : s.ptr[t + 1]].tolist())) for t in terms.tolist()}
+            best, read = classic(lists, dict(zip(terms.tolist(), idf[terms].tolist())), 10)
+            assert found[0][2] == pytest.approx(best, abs=2e-6)
+            mine, other, held = mine + s.counted[1], other + read, held + s.counted[0]
+        share[kind] = mine / held, other / held
+    print(share)
+    assert share["short"][0] < 0.6 and share["long"][1] > 0.5
+
+
 def test_pruned_search_is_exact():
     rng = np.random.default_rng(4)
     n, terms = 700, np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
