@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, tune
-from .encoding import END_ID, encoder
+from .common import saved, sliced
+from .encoding import CALL_BYTES, CALL_ROWS, END_ID, encoder, vocab_size
 from .token_output import pack, unpack, width
 
 LENGTH, WINDOWS, MIN_GAP = 4096, 64, 48
@@ -62,6 +62,7 @@ class Packer:
             start, ids = start + self.length, ids[self.length :]
         if not len(ids):
             return done
+        ids = ids.copy()  # an open window does not hold its batch
         n = len(self.open)
         fits = np.flatnonzero(self.room[:n] >= len(ids))
         if len(fits):
@@ -135,16 +136,16 @@ class Writer:
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = END_ID, length: int = LENGTH, windows: int = WINDOWS) -> DataFrame:
     """Sequences of all texts, written to the shared folder: ``sequence_id, n_tokens, payload`` (packed ids) and
     ``pieces`` (which ids of which document, and where)."""
-    tune(docs.sparkSession)
-    bits = width(max(encoder(vocabulary).vocab_size, end_id + 1))
+    bits = width(max(vocab_size(vocabulary), end_id + 1))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer, out = encoder(vocabulary), Packer(length, windows), Writer(0, TaskContext.get().partitionId(), bits)
         done: list[Window] = []
-        for batch in batches:
+        for batch in sliced(batches, CALL_ROWS, CALL_BYTES):
             ids, at = enc.encode(batch.column(1), end_id)
+            ids = ids.view(np.uint32)
             for k, doc_id in enumerate(batch.column(0).to_pylist()):
-                done += packer.add(doc_id, ids[at[k] : at[k + 1]].astype(np.uint32))
+                done += packer.add(doc_id, ids[at[k] : at[k + 1]])
                 if len(done) >= 64:
                     yield out.rows(done)
                     done = []
@@ -163,7 +164,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = END_ID, lengt
                 if left:
                     yield out.rows([left], False)
 
-            for batch in batches:
+            for batch in sliced(batches, 64):
                 for row in batch.to_pylist():
                     if row["part"] // MERGE != group:
                         if group is not None:
@@ -195,10 +196,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = END_ID, lengt
 
 def read_pieces(sequences: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     """A row per piece, its checksum taken from the stored ids."""
-    bits = width(max(encoder(vocabulary).vocab_size, end_id + 1))
+    bits = width(max(vocab_size(vocabulary), end_id + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             p = batch.column("pieces")
             n = pa.compute.list_value_length(p).to_numpy(zero_copy_only=False)
             flat = p.flatten()
