@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, tune
-from .encoding import END_ID, encoder
+from .common import saved, sliced
+from .encoding import CALL_BYTES, CALL_ROWS, END_ID, encoder
 
 MAGIC, HEAD = b"CSB1", struct.Struct("<4sBxxxqq")
 #: Ids after which a block is closed; a longer document is a block by itself.
@@ -99,7 +99,6 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = END_ID, block_i
     One range shuffle by id moves the texts; everything after it is local to a shard. Columns: ``shard`` (in order
     of ids), ``block``, ``first`` (ids of the shard before it), ``n_tokens``, ``payload``.
     """
-    tune(docs.sparkSession)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(vocabulary), TaskContext.get().partitionId()
@@ -114,7 +113,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = END_ID, block_i
             block, first, held, parts, sizes = block + 1, first + int(offsets[-1]), [], [], []
             return out
 
-        for batch in batches:
+        for batch in sliced(batches, CALL_ROWS, CALL_BYTES):
             ids, at = enc.encode(batch.column(1), end_id)
             doc_ids, a = batch.column(0).to_pylist(), 0
             total = sum(sizes)
@@ -159,6 +158,5 @@ def read_index(blocks: DataFrame) -> DataFrame:
                 n = len(crc)
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array(at[:-1] + first), pa.array(b.doc_ids, pa.int64()), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["shard", "local", "doc_id", "n_tokens", "ids_crc32"])
 
-    tune(blocks.sparkSession, 16)
     index = blocks.select("shard", "first", "payload").mapInArrow(docs, DOCS)
     return index.join(F.broadcast(shard_starts(blocks)), "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
