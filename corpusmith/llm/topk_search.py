@@ -11,8 +11,9 @@ best partial score, bound what a document of it can reach. A query reads a block
 reaches its threshold: the k-th best score so far, in this shard or (as the floor that is carried on) in the shards
 before. Blocks come in rounds, those with the highest bounds first, and thresholds rise between rounds. A block's live
 queries are scored by one matrix product. What reaches the k-th best is a candidate and scored in full, in double precision.
-Bounds are compared with a slack far above rounding, so nothing is lost. Whole texts are long queries, for which the
-classic order of single postings skips next to nothing (a test counts both).
+Bounds are compared with a slack far above rounding, so nothing is lost. The classic order of
+single postings reads fewer of them (a test counts both: for whole texts 0.39 of all postings next to 0.96), but one after the
+other in interpreted code, where a matrix product takes a block's at once.
 
 Shards belong to one of ``groups`` groups (of ``GROUP_SHARDS`` at most), and queries to chunks of about ``MAX_TERMS`` terms, as many as there are. A
 task has one chunk and the shards of one group, which pass by one at a time; it carries the floors along and
