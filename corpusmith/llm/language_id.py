@@ -1,13 +1,14 @@
 """Language ID: a bidirectional gated recurrent network over bytes.
 
-The text's letters, lower-cased, are cut into runs (words; longer ones in pieces of ``WINDOW`` bytes). Over each run one
-recurrent unit reads forward and one backward from a zero state, and a softmax on both labels every byte position. A
-document's probabilities are the mean over all its positions. Since states begin anew with every run, equal runs
-have equal labels, so each worker labels a distinct run once and weighs it by its count.
+The text is lower-cased and every run of other characters than letters and marks becomes one space. One recurrent unit
+reads its bytes forward and one backward, across words, and a softmax on both labels every byte position; a document's
+probabilities are the mean over all its positions. Texts of any length are read in windows of ``CORE`` labelled
+positions, on each side of which the units also read ``CONTEXT`` bytes more, so that no state starts at a
+labelled position but at the ends of a text. Windows of many documents run in step, as rows of a matrix.
 
-The network is trained in numpy by backpropagation through time with Adam, on the driver, from a bounded sample:
-``MAX_DOCS`` documents outside the held-out fold by a hash of the id, at most ``WORDS`` distinct words of each by a hash
-of the word. Prediction reads whole texts.
+The network is trained in numpy by backpropagation through time with Adam, on the driver, from a bounded sample outside
+the held-out fold: of each language ``PER_LANGUAGE`` documents by a hash of the id (``LEAST`` at least, where there are
+many languages), and ``PIECES`` pieces of ``TRAINED`` characters from hashed places of each. Prediction reads whole texts.
 
 Edge cases: a text that is null or has no letter gets ``und`` and score 0, and so does every text if nothing could be
 learned; documents with a null ``lang`` or ``doc_id`` teach nothing, and a null id is never held out; a single language is
@@ -17,31 +18,36 @@ ignored.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, tune
+from .common import held_out, sliced
 
-MAX_DOCS, WORDS, MAX_LANGS = 3000, 60, 200
-HIDDEN, STEPS, BATCH, RATE = 16, 260, 384, 0.02
-#: Bytes of a run that are labelled in one go, and the bytes of a training word that are used.
-WINDOW, TRAINED = 64, 24
+PER_LANGUAGE, MAX_DOCS, LEAST, PIECES, TRAINED = 750, 12_000, 20, 4, 48
+HIDDEN, STEPS, BATCH, RATE = 12, 300, 160, 0.02
+#: Lengths of training pieces; short ones prepare for short texts.
+LENGTHS = (3, 6, 12, 24, 48)
+#: Positions that a window labels, bytes read before and after them, and windows that run in step.
+CORE, CONTEXT, STEP = 448, 32, 1024
 FOLDS, FOLD = 5, 0
 UNKNOWN = "und"
-MEMO = 400_000
-NOT_LETTERS = r"[^\pL\pM]+"
+NOT_LETTERS, LETTER = r"[^\pL\pM]+", r"\pL"
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _softmax(o: np.ndarray) -> np.ndarray:
+    o = np.exp(o - o.max(-1, keepdims=True))
+    return o / o.sum(-1, keepdims=True)
+
+
 class Network:
     """Weights: for each direction an input table by byte (256 x 3h), a recurrent matrix (h x 3h) and its bias (the gates
     are update, reset, candidate); the output matrix (2h x languages) and its bias."""
@@ -72,9 +78,7 @@ class Network:
     def label(self, x: np.ndarray) -> np.ndarray:
         """Probabilities of every position: runs x steps x languages."""
         f, b = self._over("f", x, False)[0], self._over("b", x[:, ::-1], False)[0][:, ::-1]
-        o = np.concatenate([f, b], 2) @ self.p["V"] + self.p["c"]
-        o = np.exp(o - o.max(2, keepdims=True))
-        return o / o.sum(2, keepdims=True)
+        return _softmax(np.concatenate([f, b], 2) @ self.p["V"] + self.p["c"])
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over positions, and its gradient by backpropagation through time."""
@@ -82,9 +86,7 @@ class Network:
         f, ft = self._over("f", x, True)
         b, bt = self._over("b", x[:, ::-1], True)
         s = np.concatenate([f, b[:, ::-1]], 2)
-        o = s @ self.p["V"] + self.p["c"]
-        o = np.exp(o - o.max(2, keepdims=True))
-        p = o / o.sum(2, keepdims=True)
+        p = _softmax(s @ self.p["V"] + self.p["c"])
         n = x.size
         loss = -float(np.log(p[np.arange(len(x)), :, y] + 1e-12).sum()) / n
         p[np.arange(len(x)), :, y] -= 1
@@ -103,30 +105,30 @@ class Network:
                 dq = dc * rc * q * (1 - q)
                 de = np.concatenate([dz, dq, dc], 1)
                 dr = np.concatenate([dz, dq, dc * q], 1)
-                np.add.at(gE, xx[:, t], de)
+                gE += np.bincount((xx[:, t, None] * (3 * h) + np.arange(3 * h)).ravel(), de.ravel(), gE.size).reshape(gE.shape)
                 gU += s0.T @ dr
                 gb += dr.sum(0)
                 back = g * z + dr @ U.T
             grad |= {"E" + d: gE, "U" + d: gU, "b" + d: gb}
         return loss, grad
 
-    def train(self, words: list[bytes], y: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 7) -> list[float]:
-        """Adam on batches of words of one length, languages in equal shares; returns the losses."""
+    def train(self, pieces: list[bytes], y: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 7) -> list[float]:
+        """Adam on batches of pieces of one length at random places, languages in equal shares; returns the losses."""
         rng, losses = np.random.default_rng(seed), []
-        size = np.array([min(len(w), TRAINED) for w in words])
-        raw = np.zeros((len(words), TRAINED), np.uint8)
-        for row, w in zip(raw, words):
-            row[: min(len(w), TRAINED)] = np.frombuffer(w[:TRAINED], np.uint8)
-        weight = 1 / np.bincount(y, minlength=len(self.languages)).clip(1)[y]
-        lengths = np.unique(size)
-        groups = {n: np.flatnonzero(size == n) for n in lengths}
-        share = np.array([weight[groups[n]].sum() for n in lengths])
+        longest = max(LENGTHS)
+        size = np.array([min(len(w), longest) for w in pieces])
+        raw = np.zeros((len(pieces), longest), np.int64)
+        for row, w in zip(raw, pieces):
+            row[: min(len(w), longest)] = np.frombuffer(w[:longest], np.uint8)
+        least = [n for n in LENGTHS if (size >= n).any()] or [int(size.max())]
         m, v = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}
         for t in range(1, steps + 1):
-            n = lengths[rng.choice(len(lengths), p=share / share.sum())]
-            g = groups[n]
-            pick = g[rng.choice(len(g), batch, p=weight[g] / weight[g].sum())]
-            loss, grad = self.gradients(raw[pick, :n].astype(np.int64), y[pick])
+            n = int(rng.choice(least))
+            fit = np.flatnonzero(size >= n)
+            weight = 1 / np.bincount(y[fit], minlength=len(self.languages)).clip(1)[y[fit]]
+            pick = fit[rng.choice(len(fit), batch, p=weight / weight.sum())]
+            begin = (rng.random(batch) * (size[pick] - n + 1)).astype(np.int64)
+            loss, grad = self.gradients(raw[pick[:, None], begin[:, None] + np.arange(n)], y[pick])
             losses.append(loss)
             now = rate * min(1, t / 20) * (0.1 + 0.9 * (1 - t / steps))
             for k, a in grad.items():
@@ -136,109 +138,136 @@ class Network:
         return losses
 
 
+def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For texts of so many bytes in a row: each window's text, and where it and its labelled core begin and end."""
+    count = -(-sizes // CORE)
+    text = np.repeat(np.arange(len(sizes)), count)
+    begin = (np.cumsum(sizes) - sizes)[text]
+    core = begin + CORE * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count))
+    stop = begin + sizes[text]
+    core_end = np.minimum(core + CORE, stop)
+    return text, np.maximum(core - CONTEXT, begin), core, core_end, np.minimum(core_end + CONTEXT, stop)
+
+
 class Reader:
-    """A trained network with the runs that a worker has labelled: for each, summed probabilities."""
+    """A trained network, laid out for reading many windows in step in single precision."""
 
     def __init__(self, network: Network):
-        self.network = network
-        network.p = {k: a.astype(np.float32) for k, a in network.p.items()}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.memo: dict[str, int] = {"": 0}
-        self.sums = np.zeros((1 << 12, len(self.network.languages)), np.float32)
-        self.sizes = np.zeros(1 << 12, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        n = len(self.memo)
-        while n + len(words) > len(self.sizes):
-            self.sums, self.sizes = np.concatenate([self.sums, np.zeros_like(self.sums)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        raw = [w.encode() for w in words]
-        self.sizes[n : n + len(words)] = [len(r) for r in raw]
-        pieces = [(k, r[i : i + WINDOW]) for k, r in enumerate(raw) for i in range(0, len(r), WINDOW)]
-        size = np.fromiter((len(p) for _, p in pieces), np.int64, len(pieces))
-        own = np.fromiter((k for k, _ in pieces), np.int64, len(pieces))
-        for s in np.unique(size):
-            at = np.flatnonzero(size == s)
-            for i in range(0, len(at), 4096):
-                part = at[i : i + 4096]
-                x = np.frombuffer(b"".join(pieces[k][1] for k in part), np.uint8).reshape(len(part), s)
-                np.add.at(self.sums, n + own[part], self.network.label(x).sum(1))
-        self.memo.update(zip(words, range(n, n + len(words))))
+        h, p, single = network.h, network.p, np.float32
+        self.h, self.V, self.c = h, p["V"].astype(single), p["c"].astype(single)
+        self.units = {}
+        for d in "fb":
+            E, U, b = p["E" + d], p["U" + d], p["b" + d]
+            # A sigmoid is half a hyperbolic tangent of half its argument, so gates are halved here.
+            own = [0.5 * (E[:, :h] + b[:h]), 0.5 * (E[:, h : 2 * h] + b[h : 2 * h]), E[:, 2 * h :], 0.5 * U[:, :h], 0.5 * U[:, h : 2 * h], 0.5 * U[:, 2 * h :], 0.5 * b[2 * h :]]
+            self.units[d] = [np.ascontiguousarray(a, single) for a in own]
+
+    def logits(self, d: str, x: np.ndarray) -> np.ndarray:
+        """What one direction adds to the logits (steps x languages x windows) for bytes ``x`` (steps x windows)."""
+        Ez, Eq, Ec, Uz, Uq, Uc, bc = self.units[d]
+        V = np.ascontiguousarray((self.V[: self.h] if d == "f" else self.V[self.h :]).T)
+        out = np.empty((x.shape[0], len(self.c), x.shape[1]), np.float32)
+        s = np.zeros((x.shape[1], self.h), np.float32)
+        z, q, c, m = (np.empty_like(s) for _ in range(4))
+        for xt, o in zip(x, out):
+            Ez.take(xt, 0, z, "clip")
+            z += np.matmul(s, Uz, m)
+            np.tanh(z, z)
+            Eq.take(xt, 0, q, "clip")
+            q += np.matmul(s, Uq, m)
+            np.tanh(q, q)
+            np.matmul(s, Uc, m)
+            m += bc
+            q += 1
+            q *= m
+            Ec.take(xt, 0, c, "clip")
+            c += q
+            np.tanh(c, c)
+            # The new state is c + z (s - c), z being half of one more than its tangent.
+            s -= c
+            z += 1
+            z *= 0.5
+            s *= z
+            s += c
+            np.matmul(V, s.T, o)
+        return out
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
         """Documents x languages; a row of zeros where a text has no letter."""
-        clean = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), NOT_LETTERS, " ")
-        lists = pc.split_pattern(clean, " ")
-        at = lists.offsets.to_numpy().astype(np.int64)
-        at -= at[0]
-        coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if not words:
-            return np.zeros((len(texts), len(self.network.languages)))
-        if len(self.memo) + len(words) > MEMO:
-            self._clear()
-        if new := [w for w in words if w not in self.memo]:
-            self._learn(new)
-        place = np.fromiter((self.memo[w] for w in words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
-        out = np.empty((len(texts), self.sums.shape[1]))
-        sizes = np.concatenate([[0], np.cumsum(self.sizes[place])])
-        positions = sizes[at[1:]] - sizes[at[:-1]]
-        for k in range(out.shape[1]):
-            total = np.concatenate([[0.0], np.cumsum(self.sums[place, k], dtype=np.float64)])
-            out[:, k] = (total[at[1:]] - total[at[:-1]]) / np.maximum(1, positions)
-        return out
-
-
-@functools.lru_cache(maxsize=4)
-def _reader(pickled: bytes) -> Reader:
-    import pickle
-
-    return Reader(pickle.loads(pickled))
-
-
-def fit(docs: DataFrame, folds: int | None = FOLDS, fold: int = FOLD, max_docs: int = MAX_DOCS, words: int = WORDS, steps: int = STEPS) -> Network | None:
+        texts = pc.fill_null(texts, "")
+        clean = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts), NOT_LETTERS, " "), " ")
+        clean = pc.if_else(pc.match_substring_regex(texts, LETTER), clean, "")
+        sizes = pc.binary_length(clean).to_numpy().astype(np.int64)
+        out, n = np.zeros((len(texts), len(self.c))), int(sizes.sum())
+        if not n:
+            return out
+        offsets, raw = np.frombuffer(clean.buffers()[1], np.int32), np.frombuffer(clean.buffers()[2], np.uint8)
+        data = raw[offsets[clean.offset] : offsets[clean.offset] + n]
+        text, low, core, core_end, high = windows(sizes)
+        length = high - low
+        order = np.argsort(length, kind="stable")
+        for i in range(0, len(order), STEP):
+            w = order[i : i + STEP]
+            size = length[w]
+            steps = np.arange(size.max())[:, None]
+            o = self.logits("f", data[np.minimum(low[w] + steps, n - 1)].astype(np.intp))
+            back = self.logits("b", data[np.maximum(high[w] - 1 - steps, 0)].astype(np.intp))
+            # The backward unit's state for a position is counted from the window's end.
+            o += back[::-1] if size.min() == size.max() else np.take_along_axis(back, np.maximum(size - 1 - steps, 0)[:, None], 0)
+            o += self.c[:, None]
+            o -= o.max(1, keepdims=True)
+            np.exp(o, o)
+            own = (steps >= (core - low)[w]) & (steps < (core_end - low)[w])
+            o *= (own / o.sum(1))[:, None]
+            np.add.at(out, text[w], o.sum(0, dtype=np.float64).T)
+        return out / np.maximum(1, sizes)[:, None]
+
+
+def fit(docs: DataFrame, folds: int | None = FOLDS, fold: int = FOLD, per_language: int = PER_LANGUAGE, pieces: int = PIECES, steps: int = STEPS) -> Network | None:
     """The network trained on a bounded sample; None if there is nothing to learn from."""
-    known = docs.filter("lang is not null and text is not null and doc_id is not null")
+    known = docs.filter("lang is not null and text is not null and doc_id is not null").select(F.col("doc_id").cast("long"), "lang", "text")
     if folds:
         known = known.filter(~held_out("doc_id", folds, fold))
-    # Ids first, on narrow rows; their texts after that.
-    chosen = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).distinct()
-    own = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"), lambda w: w != ""))
-    some = F.slice(F.array_sort(F.transform(own, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), 1, words)
-    rows = known.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", F.transform(some, lambda x: F.substring(x["w"], 1, TRAINED)).alias("w")).limit(2 * max_docs).collect()
-    rows = sorted((r.doc_id, r.lang, r.w) for r in rows if r.w)
-    languages = sorted({lang for _, lang, _ in rows})[:MAX_LANGS]
+    clean = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{M}]+", " "))
+    # Ids first, on narrow rows (so many languages, so few documents of each); their texts after that.
+    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
     if not languages:
         return None
-    number = {x: i for i, x in enumerate(languages)}
-    pairs = [(w.encode(), number[lang]) for _, lang, ws in rows if lang in number for w in ws]
+    each = max(LEAST, min(per_language, MAX_DOCS // len(languages)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
+    chosen = known.select("lang", "doc_id", F.xxhash64("text").alias("h"), rank.alias("r")).filter(F.col("r") <= each).select("lang", "doc_id", "h").distinct()
+    size = F.length("c")
+    begins = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(size - TRAINED, F.lit(1))).cast("int") + 1 for i in range(pieces)]
+    rows = known.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "doc_id", "h"]).select("doc_id", "h", "lang", clean.alias("c")).filter("c <> ''")
+    found = rows.select("doc_id", "h", "lang", F.array(*[F.col("c").substr(b, F.lit(TRAINED)) for b in begins]).alias("w")).distinct().collect()
+    pairs = [(w.encode(), r.lang) for r in sorted(found) for w in dict.fromkeys(r.w)]
+    if not pairs:
+        return None
+    languages = sorted({x for _, x in pairs})
     network = Network(languages)
-    network.train([w for w, _ in pairs], np.array([y for _, y in pairs]), steps)
+    network.train([w for w, _ in pairs], np.searchsorted(np.array(languages), np.array([x for _, x in pairs])), steps)
     return network
 
 
-def _labelled(network: Network | None, texts: pa.Array, pickled: bytes) -> tuple[list[str], np.ndarray]:
-    if network is None:
+def labelled(network: Network | None, texts: pa.Array, reader: Reader | None) -> tuple[list[str], np.ndarray]:
+    """The language and its probability of each text."""
+    if network is None or reader is None:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    p = _reader(pickled).probabilities(texts)
+    p = reader.probabilities(texts)
     best = p.argmax(1)
-    top = p[np.arange(len(p)), best]
-    return [network.languages[k] if x > 0 else UNKNOWN for k, x in zip(best, top)], np.minimum(top, 1.0)
+    top = np.minimum(p[np.arange(len(p)), best].round(6), 1.0)
+    return [network.languages[k] if x > 0 else UNKNOWN for k, x in zip(best, p.max(1))], top
 
 
 def predict(docs: DataFrame, network: Network | None, folds: int = FOLDS, fold: int = FOLD) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every document, over its whole text."""
-    import pickle
-
-    pickled = pickle.dumps(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, scores = _labelled(network, batch.column(1), pickled)
+        reader = Reader(network) if network else None
+        for batch in sliced(batches, 2000, 4 << 20):
+            names, scores = labelled(network, batch.column(1), reader)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text", held_out("doc_id", folds, fold).alias("held_out"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
@@ -246,15 +275,12 @@ def predict(docs: DataFrame, network: Network | None, folds: int = FOLDS, fold:
 def in_known_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents whose language is known with a probability of at least ``least``, columns as they come; texts
     without letters go. Nothing is shuffled."""
-    import pickle
-
     network = fit(docs)
-    pickled = pickle.dumps(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, scores = _labelled(network, batch.column("text"), pickled)
+        reader = Reader(network) if network else None
+        for batch in sliced(batches, 2000, 4 << 20):
+            names, scores = labelled(network, batch.column("text"), reader)
             yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(names, scores)], pa.bool_()))
 
-    tune(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
