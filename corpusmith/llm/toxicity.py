@@ -2,14 +2,16 @@
 
 Five small transducers read a clause as a string of word classes: insult, threat, target, negation, reported speech.
 Each passes its input on with a factor, and :func:`compose` makes one deterministic machine of them whose factor is the
-product. An insult near a target counts more, a negated or reported one less, and a threat counts only where a target
-follows. A clause scores the lexicon weights of its matches times the machine's factors, and a document
-is scored by what its matched clauses add up to, so a word outside a clause pattern has no say of its own.
+product. The patterns: an insult near a target, and a chain of insults, count in full; an insult that stands alone is the
+weakest pattern, at ``LONE`` of that; negated or reported ones count less (who reports is no target); a threat counts only where a target follows.
+A clause scores the lexicon weights of its matches times the machine's factors, and a document is scored by what its
+matched clauses add up to.
 
 The insult lexicon is learned: words and stems (prefixes) whose presence in labelled training rows speaks for
 the label beyond chance, weighted by their log-odds. It is compiled into one automaton, and only documents that it
-touches are parsed. Counting runs in Spark over at most ``MAX_LABELLED`` training documents (chosen by a hash of
-the id; near copies of one text count once); the driver holds only the lexicon, which is bounded too.
+touches are parsed. Threats are known by their stems and inflections. Counting runs in Spark over at most
+``max_labelled`` training documents (chosen by a hash of the id; of rows that share an id, the one with the least hash of
+its text; near copies of one text count once); the driver holds only the lexicon, which that sample bounds too.
 
 Edge cases: a null or empty text has no clause and gets the score of an untouched document; a null ``doc_id`` is never
 held out; repeated rows are scored each; no labels, or only one class, give every document score 0; labels with null
@@ -28,21 +30,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, tune
+from .common import held_out, saved, sliced
 
-MAX_LABELLED, MAX_LEXICON, STEMS = 20_000, 20_000, (4, 5, 6, 7, 8)
+MAX_LABELLED, STEMS = 20_000, (4, 5, 6, 7, 8)
 FOLDS, FOLD, LIMIT = 3, 1, 0.7
 
 # Closed word classes of the grammar (English, German, French, Spanish).
 TARGETS = "you your yours he she they them him her u du dich dir ihr euch sie er tu te toi vous il elle ils elles usted tú ti él ella ellos".split()
 NEGATIONS = "not no never isn aren wasn don doesn didn without nicht kein keine nie ohne ne pas jamais sans nunca jamás sin".split()
 REPORTS = "said says say called calls wrote writes quoted claimed reported sagte sagt nannte schrieb disait dit appelé écrit dijo dice llamó escribió".split()
-THREATS = "kill murder hurt beat stab shoot strangle burn töten umbringen schlagen tuer frapper matar golpear".split()
+# Stems of threats, the endings that they take (after a doubled last letter too), and forms that no stem covers.
+THREATS = "kill murder hurt beat stab shoot strangl burn töt umbring schlag frapp étrangl golpe dispar apuñal".split()
+ENDINGS = "e s ed es er ers ing en et t te ten est end ez é ée és er ent ant ons a o as an ar aré ará ado ando ear eo eas eado eando".split()
+SHORT_THREATS = "tuer tue tuerai tuera tué tuez matar mato mata maté mataré matando shot getötet bringe schlägt schlug".split()
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 CLASSES = 6
-#: Tokens over which a target or a negation reaches.
-REACH = 4
+#: Words over which a target or a negation reaches; what an insult counts that stands alone.
+REACH, LONE = 4, 0.5
 WORD, CLAUSE = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?;:\n|]+")
 
 
@@ -60,12 +65,15 @@ class Machine:
         return out
 
 
-def _reaching(trigger: int, on: int, near: float, far: float = 1.0) -> Machine:
-    """State k: ``trigger`` was read k - 1 words ago at most REACH; an ``on`` then has factor ``near``."""
+def _reaching(trigger: int, on: int, near: float, far: float = 1.0, ends: int | None = None) -> Machine:
+    """State k > 0: ``trigger`` was read REACH - k words before the last; an ``on`` then has factor ``near``. The class
+    ``ends`` cuts the reach off."""
     step, factor = np.zeros((REACH + 1, CLASSES), int), np.ones((REACH + 1, CLASSES))
     for s in range(REACH + 1):
         step[s] = max(0, s - 1)
         step[s, trigger] = REACH
+        if ends is not None:
+            step[s, ends] = 0
         factor[s, on] = near if s else far
     return Machine(step, factor)
 
@@ -80,18 +88,36 @@ def _from_then_on(trigger: int, on: int, after: float) -> Machine:
 
 
 def insult_machine() -> Machine:
-    """Insults count; other classes do not. A second insult at once adds less than the first."""
+    """Insults count, other classes do not: the first in a clause as one that stands alone, later ones as a chain."""
     step, factor = np.zeros((2, CLASSES), int), np.zeros((2, CLASSES))
+    step[1] = 1
     step[:, INSULT] = 1
-    factor[:, INSULT] = (1.0, 0.75)
+    factor[:, INSULT] = (LONE, 1.0)
     factor[:, TARGET] = 1.0  # left to the threat machine, which asks for a threat
     return Machine(step, factor)
 
 
 def threat_machine() -> Machine:
     """A target within REACH words of a threat is a match; no other target is."""
-    m = _reaching(THREAT, TARGET, 1.0, 0.0)
-    return m
+    return _reaching(THREAT, TARGET, 1.0, 0.0)
+
+
+def words_alone() -> Machine:
+    """No grammar: every insult counts alike. Only for comparison."""
+    factor = np.zeros((1, CLASSES))
+    factor[0, INSULT] = 1.0
+    return Machine(np.zeros((1, CLASSES), int), factor)
+
+
+def threatens(word: str) -> bool:
+    """Whether a word is a form of a threat."""
+    if word in SHORT_THREATS:
+        return True
+    for n in range(min(8, len(word)), 2, -1):
+        if word[:n] in THREATS:
+            rest = word[n:]
+            return not rest or rest in ENDINGS or (rest[0] == word[n - 1] and rest[1:] in ENDINGS)
+    return False
 
 
 def compose(a: Machine, b: Machine) -> Machine:
@@ -103,7 +129,7 @@ def compose(a: Machine, b: Machine) -> Machine:
 
 def grammar() -> Machine:
     out = insult_machine()
-    for m in (threat_machine(), _reaching(TARGET, INSULT, 1.25), _reaching(NEGATION, INSULT, 0.6), _from_then_on(REPORT, INSULT, 0.75)):
+    for m in (threat_machine(), _reaching(TARGET, INSULT, 1.25 / LONE, ends=REPORT), _reaching(NEGATION, INSULT, 0.6), _from_then_on(REPORT, INSULT, 0.75)):
         out = compose(out, m)
     return out
 
@@ -111,9 +137,9 @@ def grammar() -> Machine:
 class Grammar:
     """The composed machine with a lexicon: ``stems`` (prefixes) and ``words`` with weights."""
 
-    def __init__(self, stems: dict[str, float], words: dict[str, float]):
-        self.stems, self.words, self.machine = stems, words, grammar()
-        self.closed = {w: c for c, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
+    def __init__(self, stems: dict[str, float], words: dict[str, float], machine: Machine | None = None):
+        self.stems, self.words, self.machine = stems, words, machine or grammar()
+        self.closed = {w: c for c, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
         self.longest = max(map(len, stems), default=0)
         self.automaton = None
 
@@ -125,7 +151,7 @@ class Grammar:
             import ahocorasick
 
             self.automaton = ahocorasick.Automaton()
-            for w in {*self.stems, *self.words, *THREATS}:
+            for w in {*self.stems, *self.words, *THREATS, *SHORT_THREATS}:
                 self.automaton.add_word(w, len(w))
             self.automaton.make_automaton()
         return self.automaton
@@ -159,7 +185,7 @@ class Grammar:
 
     def _clause(self, words: list[str]) -> float:
         weights = [self.weight(w) for w in words]
-        classes = [INSULT if x > 0 else self.closed.get(w, OTHER) for w, x in zip(words, weights)]
+        classes = [INSULT if x > 0 else self.closed[w] if w in self.closed else THREAT if threatens(w) else OTHER for w, x in zip(words, weights)]
         strong = self.threat_weight()
         return sum(f * (x if c == INSULT else strong) for f, c, x in zip(self.machine.run(classes), classes, weights) if f > 0 and c in (INSULT, TARGET))
 
@@ -192,10 +218,10 @@ def learn_lexicon(training: DataFrame) -> tuple[dict[str, float], dict[str, floa
     need = 2 * math.log(max(10, total[2])) + 8
     n, p = F.col("pos") + F.col("neg"), F.col("pos") / (F.col("pos") + F.col("neg"))
     ratio = 2 * (F.col("pos") * F.ln(p / base) + F.when(F.col("neg") > 0, F.col("neg") * F.ln((1 - p) / (1 - base))).otherwise(0.0))
-    chosen = sums.filter((F.col("pos") > 0) & (p > 0.5)).withColumn("g", ratio).filter(F.col("g") >= need).orderBy(F.desc("g"), "u").limit(MAX_LEXICON).collect()
+    chosen = sums.filter((F.col("pos") > 0) & (p > 0.5)).withColumn("g", ratio).filter(F.col("g") >= need).collect()
     weight = {r.u: math.log((r.pos + 0.5) / (total[0] + 1)) - math.log((r.neg + 0.5) / (total[1] + 1)) for r in chosen}
     stems: dict[str, float] = {}
-    for u in sorted((u for u in weight if u[0] != "="), key=len):
+    for u in sorted((u for u in weight if u[0] != "="), key=lambda u: (len(u), u)):
         if not any(u[:k] in stems for k in range(1, len(u))):  # the shortest stem that is pure enough stands for longer ones
             stems[u] = weight[u]
     words_ = {u[1:]: x for u, x in weight.items() if u[0] == "=" and not any(u[1 : 1 + k] in stems for k in range(1, len(u)))}
@@ -232,25 +258,24 @@ class Toxicity:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int | None = FOLDS, fold: int = FOLD, max_labelled: int = MAX_LABELLED) -> Toxicity:
-    """Learn from labelled documents outside the held-out fold (``folds`` None: from all labelled ones)."""
+def fit(docs: DataFrame, labels: DataFrame, folds: int | None = FOLDS, fold: int = FOLD, max_labelled: int = MAX_LABELLED, machine: Machine | None = None) -> Toxicity:
+    """Learn from labelled documents outside the held-out fold (``folds`` None: from all labelled ones).
+    ``machine`` stands in for the grammar."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if folds:
         known = known.filter(~held_out("doc_id", folds, fold))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    training = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    training = training.persist()
-    lexicon = Grammar(*learn_lexicon(training))
+    training = docs.select("doc_id", F.struct(F.xxhash64("text").alias("h"), "text").alias("t")).join(F.broadcast(known), "doc_id")
+    training = training.groupBy("doc_id", F.col("toxic").cast("int").alias("toxic")).agg(F.min("t").alias("t")).select("t.text", "toxic")
+    training = saved(training, "toxicity")
+    lexicon = Grammar(*learn_lexicon(training), machine)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             f = np.array([lexicon.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, 3).round(6)
             yield pa.RecordBatch.from_arrays([*map(pa.array, f.T), batch.column(1)], ["a", "b", "c", "y"])
 
-    tune(docs.sparkSession)
-    rows = training.mapInArrow(measure, "a double, b double, c double, y int").groupBy("a", "b", "c", "y").agg(F.count("*").alias("n")).limit(max_labelled).collect()
-    training.unpersist()
-    rows = sorted(rows)
+    rows = sorted(training.mapInArrow(measure, "a double, b double, c double, y int").groupBy("a", "b", "c", "y").agg(F.count("*").alias("n")).collect())
     y = np.repeat([r.y for r in rows], [r.n for r in rows]).astype(float)
     if not lexicon.threat_weight() or len(set(y)) < 2:
         return Toxicity(lexicon, None)
@@ -262,11 +287,10 @@ def score(docs: DataFrame, model: Toxicity, folds: int = FOLDS, fold: int = FOLD
     """``doc_id, held_out, score, predicted`` for every document, over its whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [model.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.float64())], ["doc_id", "held_out", "score"])
 
-    tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text", held_out("doc_id", folds, fold).alias("held_out"))
     return rows.mapInArrow(run, SCORES).withColumn("predicted", (F.col("score") >= LIMIT).cast("int"))
 
@@ -277,9 +301,8 @@ def non_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = [model.score(t) < LIMIT for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    tune(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
