@@ -26,6 +26,7 @@ component; repeated rows get equal results; an empty table gives no row; other c
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, saved, tune
+from .common import by_key, saved, sliced
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -42,9 +43,12 @@ POSITIONS, TREES, LEAF = 96, 16, 64
 DEPTHS = (2, 5)
 #: Documents and shingles of a cluster that one task confirms; larger clusters are dealt out.
 BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
-FIRST_LEADERS, LEADERS = 64, 256
+#: Members of a large cluster that are compared with all others first, and those that pass by a chunk in one task later.
+FIRST_LEADERS, LEADERS = 64, 65_536
+#: Nodes with more than ``LEAF`` documents whose list (24 bytes each) is broadcast, so that no task gets a node's rows.
+HOT_NODES = 200_000
 SPACE = r"[\x20\x09-\x0D]+"
-SETS = "doc_id long, n_shingles long, digest string, sig binary, nodes array<long>"
+SETS = "doc_id long, h long, n_shingles long, digest string, sig binary, nodes array<long>"
 
 GOLD, A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
@@ -145,25 +149,27 @@ class Union:
 
 
 class Sets:
-    """Many sets in a row, and how much of one of them each has."""
+    """Many sets, and how much of one of them each has: an inverted index from shingles to sets."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        self.known, codes = np.unique(flat, return_inverse=True)
-        self.codes = codes.reshape(-1)
-        self.ends = np.cumsum(self.sizes)
-        self.mark = np.zeros(len(self.known) + 1, np.int32)
+        order = np.argsort(flat, kind="stable")
+        flat, self.owner = flat[order], np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+        begins = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        self.known, self.begins = flat[begins], np.append(begins, len(flat))
 
     def shared(self, one: np.ndarray) -> np.ndarray:
         """Sizes of the intersections with a sorted distinct set."""
+        if not len(self.known):
+            return np.zeros(len(self.sizes), np.int64)
         at = np.searchsorted(self.known, one)
         at[at == len(self.known)] = 0
-        at = at[self.known[at] == one] if len(self.known) else at[:0]
-        self.mark[at] = 1
-        total = np.concatenate([[0], np.cumsum(self.mark[self.codes])])
-        self.mark[at] = 0
-        return total[self.ends] - total[self.ends - self.sizes]
+        at = at[self.known[at] == one]
+        begin, size = self.begins[at], self.begins[at + 1] - self.begins[at]
+        total = np.cumsum(size)
+        flat = np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+        return np.bincount(self.owner[flat], minlength=len(self.sizes))
 
 
 def linked(shared: np.ndarray, sizes: np.ndarray, size: int, percent: int) -> np.ndarray:
@@ -190,14 +196,18 @@ def confirmed(sets: list[np.ndarray], percent: int) -> Union:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row: a document links with those that share at least
     ``threshold`` of the union of their shingles; components have their smallest ``doc_id``, whose row is kept."""
-    spark, percent = docs.sparkSession, round(100 * threshold)
-    tune(spark)
+    return _judged(docs, shingle, threshold).drop("h")
+
+
+def _judged(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """:func:`near_duplicates` with ``h``, the hash of a row's text."""
+    percent = round(100 * threshold)
     margin = threshold - 4 * (threshold * (1 - threshold) / POSITIONS) ** 0.5
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in sliced(batches):
             sets = shingles(batch.column(1), shingle)
             sig = signatures(sets)
             full = np.flatnonzero([len(s) > 0 for s in sets])
@@ -208,9 +218,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
             sizes[full] = np.diff(ends)
             nodes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(node[order].view(np.int64)))
             digests = [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), pa.array([s.tobytes() for s in sig], pa.binary()), nodes], ["doc_id", "n_shingles", "digest", "sig", "nodes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), pa.array([s.tobytes() for s in sig], pa.binary()), nodes], ["doc_id", "h", "n_shingles", "digest", "sig", "nodes"])
 
-    sets = saved(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, SETS), "sketches")
+    sets = saved(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(sketch, SETS), "sketches")
     # Signature and nodes depend on the set alone, so any row's will do.
     classes = sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("nodes").alias("nodes"))
     classes = saved(classes.filter("rep is not null"), "classes")
@@ -218,9 +228,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     clusters = saved(components(proposed).withColumnRenamed("node", "rep"), "clusters")
     labels = _confirm(docs, clusters, classes, shingle, percent)
     named = classes.select("digest", "rep").join(labels, "rep", "left").select("digest", F.coalesce("label", "rep").alias("found"))
-    out = sets.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    out = sets.select("doc_id", "h", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("found", "doc_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "h", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.when(F.col("doc_id").isNull(), F.col("component_id").isNull()).otherwise(F.col("doc_id") == F.col("component_id")))
 
 
@@ -240,9 +250,7 @@ def _propose(classes: DataFrame, threshold: float, margin: float) -> DataFrame:
 
     def deeper(levels: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in sliced(batches, 2000):
                 sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
                 node = batch.column("node").to_numpy().view(np.uint64)
                 row, node = branch(sig, np.arange(len(node)), node, levels, threshold)
@@ -251,21 +259,25 @@ def _propose(classes: DataFrame, threshold: float, margin: float) -> DataFrame:
         return run
 
     signed = classes.select("rep", "sig")
-    rows, found = classes.select(F.explode("nodes").alias("node"), "rep"), None
+    rows, found = classes.select(F.explode("nodes").alias("node"), "rep"), []
     for k, depth in enumerate(DEPTHS):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        shared = saved(rows.join(sizes, "node"), f"nodes{k}")
-        small = shared.filter(F.col("n") <= LEAF).join(signed, "rep").select("node", "rep", "sig")
-        edges = small.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(compare, "a long, b long")
-        found = edges if found is None else found.unionByName(edges)
-        large = shared.filter(F.col("n") > LEAF)
+        shared = saved(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("least")).filter("n > 1"), f"nodes{k}")
+        hot = shared.filter(F.col("n") > LEAF).select("node", "least")
+        n_hot = hot.count()
+        # The rows of a hot node stay where they are; what is shuffled by node has LEAF rows of each at most.
+        few = n_hot <= HOT_NODES
+        cold = rows.join(F.broadcast(hot.select("node")), "node", "left_anti") if n_hot and few else rows
+        small = cold.join(shared.filter(F.col("n") <= LEAF).select("node"), "node").join(signed, "rep").select("node", "rep", "sig")
+        found.append(small.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(compare, "a long, b long"))
+        if not n_hot:
+            break
+        large = rows.join(F.broadcast(hot) if few else hot, "node")
         if depth == DEPTHS[-1]:
-            least = large.groupBy("node").agg(F.min("rep").alias("a"))
-            return found.unionByName(large.join(least, "node").filter("a <> rep").select("a", F.col("rep").alias("b")))
-        if large.isEmpty():
-            return found
-        rows = large.join(signed, "rep").select("node", "rep", "sig").mapInArrow(deeper(DEPTHS[k + 1] - depth), "node long, rep long")
-    return found
+            found.append(large.filter("least <> rep").select(F.col("least").alias("a"), F.col("rep").alias("b")))
+        else:
+            large = large.select("node", "rep").join(signed, "rep").select("node", "rep", "sig")
+            rows = saved(large.mapInArrow(deeper(DEPTHS[k + 1] - depth), "node long, rep long"), "deeper")
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def _confirm(docs: DataFrame, clusters: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -312,34 +324,49 @@ def _confirm(docs: DataFrame, clusters: DataFrame, classes: DataFrame, shingle:
 
 
 def _against(large: DataFrame, leaders: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Confirmed links ``a, b`` of leaders (``comp, rep, turn``) with all members of their clusters: a task has the
-    leaders of a turn and a chunk of the members."""
+    """Confirmed links ``a, b`` of leaders (``comp, rep, turn``) with all members of their clusters: a task holds a chunk
+    of the members, and the leaders of a turn pass by. A member's text is sent once a turn, of ``LEADERS`` leaders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in by_key(batches, "key"):
-            reps, lead = table.column("rep").to_numpy(), table.column("lead").to_numpy(zero_copy_only=False)
-            sets = shingles(table.column("text").combine_chunks(), shingle)
-            rest = np.flatnonzero(~lead)
-            every, ids = Sets([sets[i] for i in rest]), reps[rest]
-            for i in np.flatnonzero(lead):
-                to = ids[linked(every.shared(sets[i]), every.sizes, len(sets[i]), percent)]
-                to = to[to != reps[i]]
-                if len(to):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(to, reps[i])), pa.array(np.maximum(to, reps[i]))], ["a", "b"])
+        key, held, ids, index = None, [], [], None
+        for batch in sliced(batches):
+            keys, lead = batch.column("key").to_pylist(), batch.column("lead").to_numpy(zero_copy_only=False)
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or lead[i] != lead[i - 1]], len(keys)]
+            for a, z in zip(cuts, cuts[1:]):
+                sets, reps = shingles(batch.column("text").slice(a, z - a), shingle), batch.column("rep").slice(a, z - a).to_numpy()
+                if keys[a] != key:
+                    key, held, ids, index = keys[a], [], [], None
+                if not lead[a]:
+                    held += sets
+                    ids.append(reps)
+                    continue
+                if index is None:
+                    index, every, held = Sets(held), np.concatenate(ids) if ids else np.zeros(0, np.int64), []
+                for rep, own in zip(reps, sets):
+                    to = every[linked(index.shared(own), index.sizes, len(own), percent)]
+                    to = to[to != rep]
+                    if len(to):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(to, rep)), pa.array(np.maximum(to, rep))], ["a", "b"])
 
     turns = leaders.select("comp", "turn").distinct()
     members = large.join(turns, "comp").select("comp", "turn", "chunk", "rep", "text", F.lit(False).alias("lead"))
     heads = large.join(leaders, ["comp", "rep"]).select("comp", "turn", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "rep", "text", F.lit(True).alias("lead"))
     key = F.concat_ws(":", "comp", "turn", "chunk")
     both = members.unionByName(heads).select(key.alias("key"), "rep", "text", "lead")
-    return both.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    return both.repartition("key").sortWithinPartitions("key", "lead").mapInArrow(run, "a long, b long").distinct()
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """The documents of which one of each component stays; columns as they come.
 
-    A row stays if its id is kept; of rows that repeat one id with equal text, one stays.
+    Of rows that share a kept id, the one with the least hash over all columns stays, and so one of equal rows. A row
+    without an id stays if no row with an id has its set of shingles.
     """
-    kept = near_duplicates(docs, shingle, threshold).filter("kept and doc_id is not null").select("doc_id").distinct()
-    own = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return own.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    row, text = "_corpusmith_row", "_corpusmith_text"
+    judged = saved(_judged(docs, shingle, threshold).filter("kept").select("doc_id", "h").distinct(), "kept")
+    hashed = docs.withColumns({row: F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), text: F.xxhash64("text")})
+    ids = judged.filter("doc_id is not null").select("doc_id").distinct()
+    least = hashed.select("doc_id", row).join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias(row))
+    own = hashed.join(least, ["doc_id", row], "left_semi").dropDuplicates(["doc_id"])
+    without = judged.filter("doc_id is null").select(F.col("h").alias(text)).distinct()
+    return own.unionByName(hashed.filter("doc_id is null").join(without, text, "left_semi").select(own.columns)).select(docs.columns)
