@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import tune
+from .common import sliced
 
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
@@ -308,12 +308,11 @@ def store_texts(docs: DataFrame, compression: int = DEFLATE) -> DataFrame:
     """Every whole text as an image 64 samples wide: ``doc_id, n_bytes`` (of the text), ``media``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
             media = [write_tiff([np.frombuffer(r + b"\0" * (-len(r) % WIDTH or (WIDTH if not r else 0)), np.uint8).reshape(-1, WIDTH)], compression) for r in raw]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    tune(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, STORED)
 
 
@@ -323,7 +322,7 @@ def decode_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), *[pa.int32()] * 7, pa.bool_(), pa.binary(), pa.string()]
         names = ["doc_id", "page", "width", "height", "samples", "bits", "compression", "predictor", "tiled", "pixels", "error"]
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for own, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if data is None:
@@ -337,7 +336,6 @@ def decode_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
             cols = list(zip(*rows)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    tune(media.sparkSession)
     return media.select(id_col, media_col).mapInArrow(run, PAGES)
 
 
@@ -347,7 +345,7 @@ def media_features(stored: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, n, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 pages = read_pages(data)
