@@ -15,8 +15,6 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import inner_distance
-
 #: Numbers in a centroid table (256 MB of doubles).
 MAX_MODEL = 1 << 25
 DIGITS = 6
@@ -35,17 +33,33 @@ def centroids(vectors: DataFrame, unit: bool = False) -> DataFrame:
 
 
 def own_distance(vectors: DataFrame, centers: DataFrame) -> DataFrame:
-    """``idx, cluster, distance`` of each vector to the centroid of the cluster it already has."""
-    near = vectors.join(centers, "cluster")
-    return near.select("idx", "cluster", F.round(inner_distance(F.col("vector"), F.col("centroid")), DIGITS).alias("distance"))
+    """``idx, cluster, distance`` of each vector to the centroid of the cluster it already has. A null vector, or a cluster
+    that is null or has no centroid, gives no row. Vectors stay where they are: the centroids come to the tasks."""
+    ids, c = model(centers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, known = _matrix(batch.column(2))
+            own = batch.column(1).fill_null(0).to_numpy()[known].astype(np.int64)
+            ok = batch.column(1).is_valid().to_numpy(zero_copy_only=False)[known]
+            at = np.minimum(np.searchsorted(ids, own), max(0, len(ids) - 1))
+            ok &= ids[at] == own if len(ids) else False
+            m, at, rows = m[ok], at[ok], known[ok]
+            d = 1.0 - np.einsum("ij,ij->i", m, c[at]) if len(rows) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(d)], ["idx", "cluster", "distance"])
+
+    rows = vectors.select(F.col("idx").cast("long"), F.col("cluster").cast("int"), F.col("vector").cast("array<double>"))
+    found = rows.mapInArrow(run, "idx long, cluster int, distance double")
+    return found.select("idx", "cluster", F.round("distance", DIGITS).alias("distance"))
 
 
 def model(centers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The centroid table on the driver, in order of clusters."""
-    rows = sorted(centers.filter("cluster is not null").limit(MAX_MODEL + 1).collect())
-    c = np.array([r.centroid for r in rows], float)
-    if c.size > MAX_MODEL:
+    known = centers.filter("cluster is not null").select("cluster", "centroid")
+    if known.agg(F.coalesce(F.sum(F.size("centroid").cast("long")), F.lit(0))).first()[0] > MAX_MODEL:
         raise ValueError(f"more than {MAX_MODEL} numbers in the centroid table")
+    rows = sorted(known.collect())
+    c = np.array([r.centroid for r in rows], float)
     return np.array([r.cluster for r in rows], np.int64), c.reshape(len(rows), -1)
 
 
@@ -76,6 +90,27 @@ def assign(vectors: DataFrame, centers: DataFrame) -> DataFrame:
     return vectors.select(F.col("idx").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(run, "idx long, cluster int, distance double")
 
 
+def cluster_sums(vectors: DataFrame, centers: DataFrame) -> DataFrame:
+    """``cluster, n, total``: number and sum (at length one) of the vectors nearest to each centroid; null vectors are left out."""
+    ids, c = model(centers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, _ = _matrix(batch.column(0))
+            if not len(m) or not len(ids):
+                continue
+            size = np.linalg.norm(m, axis=1, keepdims=True)
+            m = m / np.where(size > 0, size, 1)
+            best = np.round(1.0 - m @ c.T, DIGITS).argmin(1)
+            for k in np.unique(best):
+                own = m[best == k]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k]], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([own.sum(0).tolist()])], ["cluster", "n", "total"])
+
+    parts = vectors.select(F.col("vector").cast("array<double>")).mapInArrow(run, "cluster int, n long, total array<double>")
+    total = vector_to_array(Summarizer.sum(array_to_vector("total")))
+    return parts.groupBy("cluster").agg(F.sum("n").alias("n"), total.alias("total"))
+
+
 def between(centers: DataFrame, nearest: bool = False) -> DataFrame:
     """For every centroid its mean cosine distance to all others (``cluster, diversity``), or with ``nearest`` the
     nearest other one (``cluster, neighbour, distance``). A single centroid has diversity 0 and no neighbour."""
@@ -105,7 +140,10 @@ def between(centers: DataFrame, nearest: bool = False) -> DataFrame:
 def merge_pairs(neighbours: DataFrame, below: float) -> DataFrame:
     """``cluster, merged``: clusters whose nearest neighbour is nearer than ``below`` join it, and what hangs
     together through such pairs gets its lowest cluster; the others keep their own. Works on a model-sized table."""
-    pairs = neighbours.filter(F.col("distance") < below).select("cluster", "neighbour").limit(MAX_MODEL).collect()
+    near = neighbours.filter(F.col("distance") < below).select("cluster", "neighbour")
+    if near.count() > MAX_MODEL // 8:
+        raise ValueError("too many pairs for a model-sized table")
+    pairs = near.collect()
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -123,4 +161,5 @@ def merge_pairs(neighbours: DataFrame, below: float) -> DataFrame:
 def relabel(assignments: DataFrame, mapping: DataFrame, default: int | None = None) -> DataFrame:
     """Assignments under the new names of ``mapping`` (``cluster, merged``); without one, ``default`` or the old."""
     other = F.lit(default).cast("int") if default is not None else F.col("cluster")
-    return assignments.join(mapping, "cluster", "left").withColumn("cluster", F.coalesce("merged", other)).drop("merged")
+    named = mapping.select("cluster", F.col("merged").alias("_cs_merged"))
+    return assignments.join(named, "cluster", "left").withColumn("cluster", F.coalesce("_cs_merged", other)).drop("_cs_merged")

@@ -7,8 +7,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import tables
+from ..sources.shared import written
 from . import quotas, sampling
 
+#: Chosen ids that are broadcast (some 40 bytes each in a hash table).
+FEW = 3_000_000
+
 
 @dataclass(frozen=True)
 class Config:
@@ -51,9 +56,19 @@ def divide(selected: DataFrame, config: Config) -> DataFrame:
 
 
 def with_texts(selected: DataFrame, docs: DataFrame) -> DataFrame:
-    """``split, pile_idx, text``: the texts joined to the chosen ids, which are few beside the corpus."""
-    return docs.select("idx", "text").join(selected.select("idx", "split"), "idx").select("split", F.col("idx").alias("pile_idx"), "text")
+    """``split, pile_idx, text``: the texts of the chosen ids, which are written once and counted. Up to ``FEW`` of them go to
+    the tasks, so no text is shuffled; more are joined by a shuffle."""
+    ids = written(selected.select("idx", "split"), "chosen")
+    texts, n = docs.select("idx", "text"), ids.count()
+    found = texts.join(F.broadcast(ids) if n <= FEW else ids.hint("merge"), "idx")
+    return found.select("split", F.col("idx").alias("pile_idx"), "text")
 
 
 def distill(docs: DataFrame, assignments: DataFrame, stats: DataFrame, config: Config, diversity: DataFrame | None = None) -> DataFrame:
     return with_texts(divide(selection(assignments, stats, config, diversity), config), docs)
+
+
+def write_distilled(docs: DataFrame, assignments: DataFrame, stats: DataFrame, config: Config, path: str, diversity: DataFrame | None = None, rows: int = 100_000) -> DataFrame:
+    """:func:`distill` as a folder for each split with files of at most ``rows`` rows; returns what was written."""
+    tables.write_parquet(distill(docs, assignments, stats, config, diversity), path, rows, by="split")
+    return docs.sparkSession.read.schema("pile_idx BIGINT, text STRING, split STRING").parquet(path)

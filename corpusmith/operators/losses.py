@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-DIGITS = 6
+from ..sources.shared import written
+
+#: Words that are broadcast at most.
+DIGITS, OFTEN = 6, 100_000
 
 
 def unigram_loss(docs: DataFrame, chars: int = 512) -> DataFrame:
@@ -18,10 +21,15 @@ def unigram_loss(docs: DataFrame, chars: int = 512) -> DataFrame:
     word frequencies of all those. A text without words has loss 0."""
     w = docs.select("idx", F.explode(T.words(F.lower(T.truncated(F.col("text"), chars)))).alias("word"))
     per = w.groupBy("idx", "word").agg(F.count("*").alias("n"))
-    freq = per.groupBy("word").agg(F.sum("n").alias("f"))
+    per = written(per, "words")
+    freq = written(per.groupBy("word").agg(F.sum("n").alias("f")), "frequencies")
     total = freq.agg(F.sum("f")).first()[0] or 1
     cost = F.round(-F.ln(F.col("f") / F.lit(float(total))), 9)
-    scored = per.join(freq, "word").groupBy("idx").agg((F.sum(F.col("n") * cost) / F.sum("n")).alias("l"))
+    # At most OFTEN words can make up more than one in OFTEN of all: they are broadcast, and no other word is a hot key.
+    often = F.broadcast(freq.filter(F.col("f") * OFTEN > total))
+    rest = per.join(often.select("word"), "word", "left_anti").join(freq.filter(F.col("f") * OFTEN <= total), "word")
+    both = per.join(often, "word").select("idx", "n", "f").unionByName(rest.select("idx", "n", "f"))
+    scored = both.groupBy("idx").agg((F.sum(F.col("n") * cost) / F.sum("n")).alias("l"))
     return docs.select("idx").join(scored, "idx", "left").select("idx", F.round(F.coalesce("l", F.lit(0.0)), DIGITS).alias("loss"))
 
 
@@ -42,6 +50,14 @@ def mean_loss(scored: DataFrame) -> DataFrame:
     return scored.groupBy("cluster").agg(F.round(F.avg("loss"), DIGITS).alias("mean_loss"))
 
 
+def proxy_sample(assignments: DataFrame, most: int = 1000, seed: int = 42) -> DataFrame:
+    """At most ``most`` documents of each cluster, by the order of samples: those that a proxy model scores."""
+    from .sampling import stratified
+
+    sizes = assignments.select("cluster").distinct().withColumn("actual", F.lit(most).cast("long"))
+    return stratified(assignments, sizes, purpose="proxy", seed=seed)
+
+
 def oversampled(quotas: DataFrame, factor: float = 1.5) -> DataFrame:
     """Quotas of a first draw from which the highest losses are kept."""
     return quotas.select("cluster", F.floor(F.col("quota") * factor).cast("long").alias("actual"))

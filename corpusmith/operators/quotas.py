@@ -9,11 +9,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def _all():
     """All rows: of statistics, a row per cluster."""
     return Window.partitionBy()
 
 
+def not_noise(assignments: DataFrame, noise: int = -1) -> DataFrame:
+    """Assignments but those to noise; a null cluster is none either."""
+    return assignments.filter(F.col("cluster") != noise)
+
+
+def check_total(quotas: DataFrame, total: int) -> DataFrame:
+    """The quotas, if they are whole, none below zero, and add up to ``total``; else an error."""
+    n, least = quotas.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.min("quota")).first()
+    if n != total or (least is not None and least < 0):
+        raise ValueError(f"quotas add up to {n}, not {total}; the least is {least}")
+    return quotas
+
+
+def check_selection(selected: DataFrame, quotas: DataFrame) -> DataFrame:
+    """The selection, if no ``idx`` is null, below 0 or chosen twice, and no cluster gives another number than its ``actual``."""
+    n, ids, bad = selected.agg(F.count("*"), F.countDistinct("idx"), F.sum((F.coalesce("idx", F.lit(-1)) < 0).cast("int"))).first()
+    if n != ids or bad:
+        raise ValueError(f"{n} rows with {ids} different ids, {bad or 0} of them invalid")
+    sizes = selected.groupBy("cluster").agg(F.count("*").alias("n"))
+    off = quotas.select("cluster", "actual").join(sizes, "cluster", "full").filter(F.coalesce("n", F.lit(0)) != F.coalesce("actual", F.lit(0))).limit(1).collect()
+    if off:
+        raise ValueError(f"cluster {off[0].cluster} gives {off[0].n} rows of {off[0].actual}")
+    return selected
+
 
 def included(stats: DataFrame, excluded: list[int], expected: int | None = None) -> DataFrame:
     """The clusters that are not excluded; ``expected``: so many must be listed, else the list is wrong."""

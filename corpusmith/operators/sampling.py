@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 TRAIN, VALIDATION = 0.9896091, 0.009896091
 
 
@@ -19,10 +21,14 @@ def stratified(assignments: DataFrame, quotas: DataFrame, quota: str = "actual",
     The largest quota is written into the plan, so every task cuts its rows to it before the shuffle; a cluster
     without a quota gives none. Quotas are a model-sized table.
     """
-    most = quotas.agg(F.max(quota)).first()[0] or 0
-    w = Window.partitionBy("cluster").orderBy(order_key(purpose, seed), "idx")
-    ranked = assignments.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most)
-    return ranked.join(quotas.select("cluster", F.col(quota).alias("q")), "cluster").filter("rn <= q").drop("rn", "q")
+    return _first(assignments, quotas.select("cluster", F.col(quota).alias("_cs_q")), order_key(purpose, seed), F.col("idx"))
+
+
+def _first(rows: DataFrame, quotas: DataFrame, *order: Column) -> DataFrame:
+    """The first ``_cs_q`` rows of each cluster in an order, columns as they come."""
+    most = quotas.agg(F.max("_cs_q")).first()[0] or 0
+    ranked = rows.withColumn("_cs_rn", F.row_number().over(Window.partitionBy("cluster").orderBy(*order))).filter(F.col("_cs_rn") <= most)
+    return ranked.join(quotas, "cluster").filter("_cs_rn <= _cs_q").select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
 def top_up(assignments: DataFrame, taken: DataFrame, quotas: DataFrame, quota: str = "topup", seed: int = 42) -> DataFrame:
@@ -32,35 +38,35 @@ def top_up(assignments: DataFrame, taken: DataFrame, quotas: DataFrame, quota: s
 
 def top_by_loss(scored: DataFrame, quotas: DataFrame, bottom: float = 0.0) -> DataFrame:
     """The rows of highest loss of each cluster up to its quota; ``bottom``: this share of it from the low end."""
-    high = Window.partitionBy("cluster").orderBy(F.desc("loss"), "idx")
-    low = Window.partitionBy("cluster").orderBy("loss", F.desc("idx"))
-    q = scored.join(quotas.select("cluster", F.col("actual").alias("q")), "cluster").withColumn("up", F.row_number().over(high)).withColumn("down", F.row_number().over(low))
-    share = F.floor(F.col("q") * F.lit(1 - bottom)) if bottom else F.col("q")
-    return q.filter((F.col("up") <= share) | (F.col("down") <= F.col("q") - share)).select("idx", "cluster", "loss")
+    rows = scored.select("idx", "cluster", "loss")
+    share = F.floor(F.col("actual") * F.lit(1 - bottom)) if bottom else F.col("actual")
+    top = _first(rows, quotas.select("cluster", share.alias("_cs_q")), F.desc("loss"), F.col("idx"))
+    if not bottom:
+        return top
+    low = _first(rows, quotas.select("cluster", (F.col("actual") - share).alias("_cs_q")), F.col("loss"), F.desc("idx"))
+    return top.unionByName(low).distinct()  # a small cluster's rows may be in both ends
 
 
 def _placed(selected: DataFrame, bounds, seed: int) -> DataFrame:
     """Adds ``split`` from a rank over all selected rows. Ranks come from range partitions: each counts its own rows
     and adds the rows of those before, so that no task sees all of them."""
-    keyed = selected.withColumn("_k", order_key("split", seed))
+    # Buckets of the key's first digits; within a bucket the order is exact. The selection is written once.
+    key = order_key("split", seed)
+    keyed = written(selected.withColumns({"_cs_k": key, "_cs_b": F.conv(F.substring(key, 1, 3), 16, 10).cast("int")}), "selected")
     spark = selected.sparkSession
-    n = selected.count()
-    if not n:
-        return selected.withColumn("split", F.lit(None).cast("string"))
-    # Buckets of the key's first digits; within a bucket the order is exact.
-    keyed = keyed.withColumn("_b", F.conv(F.substring("_k", 1, 3), 16, 10).cast("int"))
-    sizes = sorted(keyed.groupBy("_b").count().collect())
+    sizes = sorted(keyed.groupBy("_cs_b").count().collect())
+    n = sum(m for _, m in sizes)
     before, rows = 0, []
     for b, m in sizes:
         rows.append((b, before))
         before += m
-    bases = spark.createDataFrame(rows, "_b int, _base long")  # 4096 rows at most
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_k", "idx")) + F.col("_base")
-    ranked = keyed.join(F.broadcast(bases), "_b").withColumn("_r", rank)
+    bases = spark.createDataFrame(rows, "_cs_b int, _cs_base long")  # 4096 rows at most
+    rank = F.row_number().over(Window.partitionBy("_cs_b").orderBy("_cs_k", "idx")) + F.col("_cs_base")
+    ranked = keyed.join(F.broadcast(bases), "_cs_b").withColumn("_cs_r", rank)
     train, validation, test = bounds(n)
-    r = F.col("_r")
+    r = F.col("_cs_r")
     split = F.when(r <= train, "train").when(r <= train + validation, "validation").when(r <= train + validation + test, "test")
-    return ranked.withColumn("split", split).filter("split is not null").drop("_k", "_b", "_base", "_r")
+    return ranked.withColumn("split", split).filter("split is not null").drop("_cs_k", "_cs_b", "_cs_base", "_cs_r")
 
 
 def split_fixed(selected: DataFrame, train: int, validation: int, test: int, seed: int = 42) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clusters, stats
+from ..sources.shared import written
 
 EXCLUDED = [3, 7]
 K = 10
@@ -16,7 +17,7 @@ K = 10
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._kept = spark, sf_dir, None
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -38,8 +39,14 @@ class Tables:
         """Assignments of those vectors that have a document: what quotas and samples work on."""
         return self.assigned().join(self.docs().select("idx"), "idx", "left_semi")
 
+    def kept(self) -> DataFrame:
+        """:meth:`chosen_from`, written once for all that a query makes of it."""
+        if self._kept is None:
+            self._kept = written(self.chosen_from(), "assignments")
+        return self._kept
+
     def stats(self) -> DataFrame:
-        return stats.cluster_stats(self.chosen_from())
+        return stats.cluster_stats(self.kept())
 
 
 BASE = """

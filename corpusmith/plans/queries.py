@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import clusters, distill, embedding, losses, profile, quotas, sampling, shards, stats, training
+from ..sources import tables
+from ..sources.shared import shared_path, written
 from .base import EXCLUDED, Tables, K, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +43,7 @@ def scan_documents(t):
 
 @query("SELECT 'labelled' AS split, count(*) AS n FROM labels UNION ALL SELECT 'corpus', count(*) FROM documents")
 def scan_splits(t):
-    both = t.raw("labels").select("doc_id").withColumn("split", F.lit("labelled")).unionByName(t.raw("documents").select("doc_id").withColumn("split", F.lit("corpus")))
+    both = tables.read_splits(t.spark, {"labelled": f"{t.dir}/labels.parquet", "corpus": f"{t.dir}/documents.parquet"}, ["doc_id"])
     return both.groupBy("split").agg(F.count("*").alias("n"))
 
 
@@ -208,15 +210,10 @@ def kmeans_fit(t):
 @query()
 def stream_fit(t):
     """The same vectors as a stream of files, with the state of each batch kept beside the checkpoint."""
-    import tempfile
-    import uuid
+    from ..streaming.kmeans import StreamingKMeans, vector_files
 
-    from ..streaming.kmeans import StreamingKMeans
-
-    home = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusmith-")
-    at = f"{home.rstrip('/')}/corpusmith/kmeans-{uuid.uuid4().hex}"
-    rows = t.raw("embeddings")
-    stream = t.spark.readStream.schema(rows.schema).parquet(f"{t.dir}/embeddings.parquet*")
+    at = shared_path(t.spark, "kmeans")
+    stream = vector_files(t.spark, f"{t.dir}/embeddings.parquet*", t.raw("embeddings").schema)
     vectors = stream.select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vector"))
     return StreamingKMeans(t.spark, f"{at}/state", K).run(vectors, f"{at}/checkpoint")
 
@@ -242,17 +239,17 @@ mask AS (SELECT idx, cluster, distance <= threshold AND cluster NOT IN (3, 7) AS
 
 @query(sql("SELECT * FROM th", THRESHOLD))
 def cluster_threshold(t):
-    return stats.thresholds(t.chosen_from(), 12)
+    return stats.thresholds(t.kept(), 12)
 
 
 @query(sql("SELECT * FROM mask", THRESHOLD))
 def threshold_mask(t):
-    return stats.threshold_mask(t.chosen_from(), 12, EXCLUDED)
+    return stats.threshold_mask(t.kept(), 12, EXCLUDED)
 
 
 @query(sql("SELECT count(*) AS total_examples, count(*) FILTER (keep) AS kept_examples, round(100.0 * count(*) FILTER (keep) / count(*), 6) AS percentage_kept FROM mask", THRESHOLD))
 def mask_metadata(t):
-    return stats.mask_metadata(stats.threshold_mask(t.chosen_from(), 12, EXCLUDED))
+    return stats.mask_metadata(stats.threshold_mask(t.kept(), 12, EXCLUDED))
 
 
 # Quotas
@@ -325,13 +322,13 @@ def quota_low_topup(t):
 
 @query(_recursive("SELECT a.idx, a.cluster FROM a WHERE idx NOT IN (SELECT idx FROM base)", TOPUP, PICK))
 def topup_anti(t):
-    rows = t.chosen_from().select("idx", "cluster")
+    rows = t.kept().select("idx", "cluster")
     return shards.not_done(rows, sampling.stratified(rows, _low(t)))
 
 
 @query(_recursive("SELECT * FROM base UNION ALL SELECT * FROM tops", TOPUP, PICK))
 def topup_union(t):
-    return distill.selection(t.chosen_from(), t.stats(), distill.Config(200, tuple(EXCLUDED), "low_topup", omega=0.75))
+    return distill.selection(t.kept(), t.stats(), distill.Config(200, tuple(EXCLUDED), "low_topup", omega=0.75))
 
 
 INTER = """
@@ -364,7 +361,10 @@ lq AS (SELECT cluster, CAST(round_even(proportion, 0) AS BIGINT) AS quota, least
 
 
 def _scored(t):
-    return losses.unigram_loss(t.docs()).join(t.chosen_from().select("idx", "cluster"), "idx").select("idx", "cluster", "loss")
+    """Losses of the clustered documents, written once for proportions, quotas and the draw."""
+    if not hasattr(t, "scored"):
+        t.scored = written(losses.unigram_loss(t.docs()).join(t.kept().select("idx", "cluster"), "idx").select("idx", "cluster", "loss"), "losses")
+    return t.scored
 
 
 def _proportions(t):
@@ -423,7 +423,7 @@ CONFIG = distill.Config(T_ALL, tuple(EXCLUDED))
 
 
 def _selected(t):
-    return distill.selection(t.chosen_from(), t.stats(), CONFIG)
+    return distill.selection(t.kept(), t.stats(), CONFIG)
 
 
 @query(sql("SELECT idx, cluster FROM sel", *SAMPLE))
@@ -480,12 +480,117 @@ def extract_text(t):
 @query(sql("SELECT split, idx AS pile_idx, text FROM ratio JOIN documents ON doc_id = idx", *SAMPLE))
 def distill_density(t):
     """The flagship: statistics, density quota, sample, ratio split, texts last."""
-    return distill.distill(t.docs(), t.chosen_from(), t.stats(), CONFIG)
+    return distill.distill(t.docs(), t.kept(), t.stats(), CONFIG)
 
 
 @query(sql("SELECT CASE WHEN r <= 300 THEN 'train' WHEN r <= 310 THEN 'validation' ELSE 'test' END AS split, idx AS pile_idx, text FROM (SELECT *, row_number() OVER (ORDER BY md5('42:split:' || idx), idx) AS r FROM (SELECT a.idx FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY md5('42:sample:' || idx), idx) AS rn FROM a) a JOIN eq USING (cluster) WHERE rn <= least(quota, n))) JOIN documents ON doc_id = idx WHERE r <= 330", EQUAL.format(400)))
 def distill_equal(t):
-    return distill.distill(t.docs(), t.chosen_from(), t.stats(), distill.Config(400, tuple(EXCLUDED), "equal", "fixed", (300, 10, 20)))
+    return distill.distill(t.docs(), t.kept(), t.stats(), distill.Config(400, tuple(EXCLUDED), "equal", "fixed", (300, 10, 20)))
+
+
+@query(sql("SELECT split, idx AS pile_idx, text FROM ratio JOIN documents ON doc_id = idx", *SAMPLE))
+def distill_written(t):
+    """The flagship with its sink: a folder for each split, read back."""
+    return distill.write_distilled(t.docs(), t.kept(), t.stats(), CONFIG, shared_path(t.spark, "distilled")).select("split", "pile_idx", "text")
+
+
+def _scaled(total: int, *sizes: int) -> str:
+    """SQL of a density distillation of ``total`` documents in splits that are scaled to what there is."""
+    n = sum(sizes)
+    cut = [f"floor({x} * (m / CAST({n} AS DOUBLE)))" for x in sizes]
+    return sql(
+        f"SELECT CASE WHEN r <= {cut[0]} THEN 'train' WHEN r <= {cut[0]} + {cut[1]} THEN 'validation' ELSE 'test' END AS split, idx AS pile_idx, text FROM pos JOIN documents ON doc_id = idx",
+        DENSITY.format(total, 0.5), *SAMPLE[1:3],
+    )
+
+
+NANO, PICO = (240, 10, 50), (120, 5, 25)
+
+
+@query(_scaled(sum(NANO), *NANO))
+def distill_nano(t):
+    """A small configuration of the density policy: splits scaled to the number of rows."""
+    return distill.distill(t.docs(), t.kept(), t.stats(), distill.Config(sum(NANO), tuple(EXCLUDED), "density", "scaled", NANO))
+
+
+@query(_scaled(sum(PICO), *PICO))
+def distill_pico(t):
+    return distill.distill(t.docs(), t.kept(), t.stats(), distill.Config(sum(PICO), tuple(EXCLUDED), "density", "scaled", PICO))
+
+
+K440 = "k AS (SELECT CAST(doc_id % 440 AS INT) AS cluster, count(*) AS n, round(avg(n_chars % 100) / 100, 6) AS r FROM documents WHERE doc_id % 440 >= 70 GROUP BY 1)"
+
+
+def _k440(t):
+    """Statistics of 440 clusters, of which the first 70 are excluded."""
+    cluster = F.expr("cast(idx % 440 as int)").alias("cluster")
+    return t.docs().groupBy(cluster).agg(F.count("*").alias("total_examples"), F.round(F.avg(F.expr("n_chars % 100")) / 100, 6).alias("average_distance"))
+
+
+@query(f"WITH {K440} SELECT cluster, quota, least(quota, n) AS actual FROM (SELECT *, 1013163 // count(*) OVER () + CASE WHEN row_number() OVER (ORDER BY cluster) <= 1013163 % count(*) OVER () THEN 1 ELSE 0 END AS quota FROM k)")
+def quota_k440_equal(t):
+    """440 clusters, 70 excluded, the configuration's whole total."""
+    return quotas.check_total(quotas.equal(_k440(t), 1_013_163, list(range(70))), 1_013_163)
+
+
+@query(f"WITH {K440} SELECT cluster, quota, least(quota, n) AS actual FROM (SELECT *, CAST(floor(1013163 * (CAST(n AS DOUBLE) / sum(n) OVER ()) * (1 - 0.5 * r)) AS BIGINT) AS quota FROM k)")
+def quota_k440_density(t):
+    return quotas.density(_k440(t), 1_013_163, list(range(70)))
+
+
+@query(sql("SELECT cluster, round(avg(loss), 6) AS mean_loss FROM (SELECT sc.*, row_number() OVER (PARTITION BY cluster ORDER BY md5('42:proxy:' || idx), idx) AS rn FROM sc) WHERE rn <= 20 GROUP BY cluster", LOSS))
+def proxy_loss(t):
+    """Mean loss of at most so many documents of each cluster."""
+    return losses.mean_loss(losses.proxy_sample(_scored(t), 20))
+
+
+@query(sql("SELECT * FROM lp", LOSS))
+def loss_lines(t):
+    """Proportions written as JSON lines under the published names and read back."""
+    at = shared_path(t.spark, "loss")
+    tables.write_cluster_loss(_proportions(t), at)
+    return tables.read_cluster_loss(t.spark, at)
+
+
+@query(sql("""SELECT st.cluster, n AS total_examples, s AS sum_distance, r AS average_distance, (SELECT string_agg(substring(text, 1, 256), '|' ORDER BY distance, idx) FROM (SELECT a.*, text, row_number() OVER (PARTITION BY cluster ORDER BY distance, idx) AS rn FROM a JOIN documents ON doc_id = idx) x WHERE rn <= 5 AND x.cluster = st.cluster) AS near FROM st"""))
+def cluster_info(t):
+    """Cluster information in its published form, written and read back."""
+    at = shared_path(t.spark, "info")
+    tables.write_cluster_info(tables.cluster_info(t.stats(), stats.extremes(t.kept(), t.docs())), at)
+    return tables.read_cluster_info(t.spark, at).select("cluster", "total_examples", "sum_distance", "average_distance", F.array_join("closest.text", "|").alias("near"))
+
+
+@query(sql("SELECT cluster, c AS centroid FROM cent"))
+def centroid_table(t):
+    """Centroids written and read back."""
+    at = shared_path(t.spark, "centroids")
+    tables.write_centroids(t.centers(), at)
+    return tables.read_centroids(t.spark, at)
+
+
+@query("SELECT CAST((n + 99) // 100 AS BIGINT) AS total_chunks, CAST(100 AS BIGINT) AS chunk_size, 'cluster_results' AS prefix, n AS total_entries FROM (SELECT count(*) AS n FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))")
+def chunk_metadata(t):
+    """What the written chunks hold."""
+    return tables.write_chunks(t.chosen_from().coalesce(1), shared_path(t.spark, "chunks"), 100)
+
+
+@query("SELECT doc_id AS idx, source FROM documents WHERE doc_id >= 64 AND doc_id < 256")
+def sections_written(t):
+    """Two sections written by themselves, the second of them twice, and read back."""
+    at, rows = shared_path(t.spark, "sections"), t.docs().select("idx", "source")
+    for first, last in ((1, 2), (2, 4), (2, 4)):
+        tables.write_section(shards.section(rows, first, last, 64), at, first, last, 64)
+    return tables.read_sections(t.spark, at, rows.schema)
+
+
+@query()
+def token_lengths(t):
+    """Statistics of tokenised lengths over a cached table of ids."""
+    import public_tokenizers
+
+    from ..operators import tokens
+
+    return tokens.length_stats(written(tokens.tokenised(t.docs(), public_tokenizers.path("byte_bpe_50k.json")), "tokens"))
 
 
 # Shards and positions
@@ -517,26 +622,14 @@ def shard_histogram(t):
 @query(sql("SELECT cluster, count(*) AS n FROM a GROUP BY cluster"))
 def cluster_partition_counts(t):
     """Assignments written to a folder for each cluster and read back from the folders."""
-    import tempfile
-    import uuid
-
-    from ..sources import tables
-
-    home = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusmith-")
-    at = f"{home.rstrip('/')}/corpusmith/clusters-{uuid.uuid4().hex}"
+    at = shared_path(t.spark, "clusters")
     tables.write_jsonl(t.chosen_from().repartition("cluster"), at, by="cluster")
     return t.spark.read.schema(tables.ASSIGNMENT).json(at).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @query(sql("SELECT idx, cluster, distance FROM a"))
 def jsonl_roundtrip(t):
-    import tempfile
-    import uuid
-
-    from ..sources import tables
-
-    home = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusmith-")
-    at = f"{home.rstrip('/')}/corpusmith/lines-{uuid.uuid4().hex}"
+    at = shared_path(t.spark, "lines")
     tables.write_jsonl(t.chosen_from().select("idx", "cluster", "distance"), at)
     return tables.read_jsonl(t.spark, at, tables.ASSIGNMENT)[0]
 

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.clusters import assign, centroids
+from ..operators.clusters import cluster_sums
 
 STATE = "cluster INT, centroid ARRAY<DOUBLE>, weight DOUBLE"
 
@@ -25,6 +25,8 @@ def unit(m: np.ndarray) -> np.ndarray:
 def seeds(vectors: DataFrame, k: int, seed: int = 42, sample: int = 10_000) -> np.ndarray:
     """k-means++ starts from a bounded sample, chosen by a hash of the index."""
     rows = vectors.filter("vector is not null").orderBy(F.md5(F.concat(F.lit(f"{seed}:seed:"), F.col("idx").cast("string")).cast("binary"))).limit(sample).select("vector").collect()
+    if not rows:
+        return np.zeros((0, 0))
     m = unit(np.array([r.vector for r in rows], float))
     rng = np.random.default_rng(seed)
     chosen = [m[0]]
@@ -49,34 +51,28 @@ class StreamingKMeans:
     def __init__(self, spark: SparkSession, path: str, k: int, seed: int = 42):
         self.spark, self.path, self.k, self.seed = spark, path.rstrip("/"), k, seed
 
-    def _at(self, batch_id: int) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(STATE).parquet(f"{self.path}/batch={batch_id}")
-        except Exception as e:  # no state before the first batch
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+    def _at(self, batch_id: int) -> DataFrame:
+        """The state after a batch; that it is missing is an error, as starting anew would lose what was learned."""
+        return self.spark.read.schema(STATE).parquet(f"{self.path}/batch={batch_id}")
 
     def step(self, batch: DataFrame, batch_id: int) -> None:
-        vectors = batch.filter("vector is not null").persist()
-        before = self._at(batch_id - 1) if batch_id else None
-        if before is None:
+        vectors = batch.filter("vector is not null")
+        if batch_id:
+            before = self._at(batch_id - 1)
+        else:
             first = seeds(vectors, self.k, self.seed)
             before = self.spark.createDataFrame([(i, c.tolist(), 0.0) for i, c in enumerate(first)], STATE)
         state = {r.cluster: (np.array(r.centroid), r.weight) for r in before.collect()}
-        near = assign(vectors, before.select("cluster", "centroid"))
-        sums = centroids(vectors.join(near.select("idx", "cluster"), "idx")).collect()
-        sizes = {r.cluster: r["count"] for r in near.groupBy("cluster").count().collect()}
-        for r in sums:
+        # Each Arrow batch gives its sums per cluster, so vectors are read once and none is shuffled.
+        for r in cluster_sums(vectors, before.select("cluster", "centroid")).collect():
             c, w = state[r.cluster]
-            n = sizes[r.cluster]
-            state[r.cluster] = (unit((w * c + n * np.array(r.centroid))[None])[0], w + n)
+            state[r.cluster] = (unit((w * c + np.array(r.total))[None])[0], w + r.n)
         rows = [(i, c.tolist(), float(w)) for i, (c, w) in sorted(state.items())]
         self.spark.createDataFrame(rows, STATE).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-        vectors.unpersist()
 
     def run(self, stream: DataFrame, checkpoint: str) -> DataFrame:
-        """Consume what has arrived, then stop; returns the last state."""
+        """Consume what has arrived, then stop; returns the last state. Batches are as large as the source makes them
+        (:func:`vector_files`); a restart goes on behind the last batch that is finished."""
         query = stream.writeStream.foreachBatch(self.step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         return self.latest()
@@ -85,3 +81,8 @@ class StreamingKMeans:
         state = self.spark.read.schema(STATE + ", batch INT").parquet(self.path)
         last = state.agg(F.max("batch")).first()[0]
         return state.filter(F.col("batch") == last).drop("batch")
+
+
+def vector_files(spark: SparkSession, path: str, schema, files: int = 4) -> DataFrame:
+    """Parquet files as they arrive, at most ``files`` of them a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
