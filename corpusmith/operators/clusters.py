@@ -60,7 +60,7 @@ def model(centers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         raise ValueError(f"more than {MAX_MODEL} numbers in the centroid table")
     rows = sorted(known.collect())
     c = np.array([r.centroid for r in rows], float)
-    return np.array([r.cluster for r in rows], np.int64), c.reshape(len(rows), -1)
+    return np.array([r.cluster for r in rows], np.int64), c.reshape(len(rows), -1) if rows else np.empty((0, 0))
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -162,4 +162,5 @@ def relabel(assignments: DataFrame, mapping: DataFrame, default: int | None = No
     """Assignments under the new names of ``mapping`` (``cluster, merged``); without one, ``default`` or the old."""
     other = F.lit(default).cast("int") if default is not None else F.col("cluster")
     named = mapping.select("cluster", F.col("merged").alias("_cs_merged"))
-    return assignments.join(named, "cluster", "left").withColumn("cluster", F.coalesce("_cs_merged", other)).drop("_cs_merged")
+    found = assignments.join(named, "cluster", "left").withColumn("cluster", F.coalesce("_cs_merged", other))
+    return found.select(*[F.col(f"`{c}`") for c in assignments.columns])

@@ -55,9 +55,9 @@ def locate(rows: DataFrame, shards: DataFrame, idx: str = "idx") -> DataFrame:
     every = rows.sparkSession.range(last // wide + 1).select(F.col("id").alias("_cs_s")).join(strips, "_cs_s", "left")
     every = every.withColumn("_cs_o", F.last("_cs_m", ignorenulls=True).over(before)).drop("_cs_m")
     strip = F.least(F.expr(f"`{idx}` div {wide}"), F.lit(last // wide))
-    own = F.element_at(F.filter("_cs_l", lambda x: x["start"] <= F.col(f"`{idx}`")), -1)
+    own = F.try_element_at(F.filter("_cs_l", lambda x: x["start"] <= F.col(f"`{idx}`")), F.lit(-1))
     found = rows.withColumn("_cs_s", strip).join(every, "_cs_s", "left")
-    found = found.withColumn("_cs_h", F.coalesce(F.when(F.size("_cs_l") > 0, own), "_cs_o"))
+    found = found.withColumn("_cs_h", F.coalesce(own, "_cs_o"))
     return found.withColumns({"shard": F.col("_cs_h.shard"), "local": F.col(f"`{idx}`") - F.col("_cs_h.start")}).drop("_cs_s", "_cs_l", "_cs_o", "_cs_h")
 
 

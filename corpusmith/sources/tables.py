@@ -24,7 +24,9 @@ def read_splits(spark: SparkSession, paths: dict[str, str], columns: list[str] |
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """The good rows of JSON lines, and the broken lines as ``_bad``."""
-    rows = spark.read.schema(f"{schema}, _bad STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    rows = lines.select(F.from_json("value", f"{schema}, _bad STRING", how).alias("r")).select("r.*")
     return rows.filter("_bad is null").drop("_bad"), rows.filter("_bad is not null").select("_bad")
 
 
@@ -45,7 +47,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     blank task is that of the row above within its file; the header and the rule are left out; a value that is no
     number is null."""
     cells = F.transform(F.split("value", r"\|"), lambda c: F.trim(c))
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     rows = lines.withColumn("c", cells).filter((F.size("c") >= 10) & ~F.col("c")[1].isin("Tasks") & ~F.col("value").rlike(r"^\|[-:| ]+\|?$"))
     from pyspark.sql import Window
 
@@ -85,7 +87,7 @@ def read_cluster_info(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.schema(CLUSTER_INFO).json(path).filter("cluster is not null")
     if not lines.isEmpty():
         return lines
-    whole = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", f"MAP<STRING, STRUCT<{INFO}>>")).alias("k", "v"))
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"MAP<STRING, STRUCT<{INFO}>>")).alias("k", "v"))
     return whole.select(F.col("k").cast("int").alias("cluster"), "v.*")
 
 
