@@ -27,8 +27,9 @@ def main() -> None:
     names = list(NAMES)
     try:
         from corpusmith.llm import queries as training
-    except ModuleNotFoundError:
-        pass
+    except ModuleNotFoundError as e:
+        if e.name != "corpusmith.llm":
+            raise
     else:
         queries |= training.queries()
         names += sorted(training.queries(), key=lambda n: int(n[2:].split("_")[0]))

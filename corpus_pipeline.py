@@ -46,7 +46,8 @@ STAGES = [
     ("mixing", mixing_stage),
     ("packing", packing_stage),
 ]
-#: Learned models and token ids cannot be expressed in SQL; tests hold each stage against brute force.
+#: Learned models and token ids cannot be expressed in SQL. Tests hold the learned stages against their models' plain versions and
+#: near-duplicates, mixing and packing against brute force.
 ORACLE_SQL = None
 
 
