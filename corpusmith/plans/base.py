@@ -17,7 +17,7 @@ K = 10
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir, self._kept = spark, sf_dir, None
+        self.spark, self.dir, self._kept, self._centers = spark, sf_dir, None, None
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -29,7 +29,10 @@ class Tables:
         return self.raw("embeddings").select(F.col("vec_id").alias("idx"), F.col("label").cast("int").alias("cluster"), F.col("embedding").alias("vector"))
 
     def centers(self) -> DataFrame:
-        return clusters.centroids(self.vectors())
+        """Centroids of all vectors, written once: a model-sized table that is counted, collected and compared."""
+        if self._centers is None:
+            self._centers = written(clusters.centroids(self.vectors()), "centroids")
+        return self._centers
 
     def assigned(self) -> DataFrame:
         """Assignments of all vectors."""
