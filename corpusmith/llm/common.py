@@ -23,18 +23,24 @@ def sliced(batches: Iterator, rows: int = 500, size: int = 8 << 20) -> Iterator:
     """Arrow batches cut to at most ``rows`` rows and, down to single rows, ``size`` bytes; empty ones are left out.
 
     Spark bounds what it sends (10,000 rows or 64 MB); the working memory of an operator is bounded here, without
-    a setting of the session.
+    a setting of the session. At the end Arrow hands back what it has freed: workers outlive a task, and the stages after
+    it would pay for its peak.
     """
-    for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            todo = [batch.slice(i, rows)]
-            while todo:
-                part = todo.pop()
-                if part.nbytes > size and part.num_rows > 1:
-                    half = part.num_rows // 2
-                    todo += [part.slice(half), part.slice(0, half)]
-                else:
-                    yield part
+    import pyarrow as pa
+
+    try:
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                todo = [batch.slice(i, rows)]
+                while todo:
+                    part = todo.pop()
+                    if part.nbytes > size and part.num_rows > 1:
+                        half = part.num_rows // 2
+                        todo += [part.slice(half), part.slice(0, half)]
+                    else:
+                        yield part
+    finally:
+        pa.default_memory_pool().release_unused()
 
 
 def shared_dir(spark: SparkSession) -> str:
