@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import clusters, distill, embedding, losses, profile, quotas, sampling, shards, stats, training
+from ..operators import clusters, density, distill, embedding, losses, profile, quotas, sampling, shards, stats, training
 from ..sources import tables
 from ..sources.shared import shared_path, written
 from .base import EXCLUDED, Tables, K, sql
@@ -184,6 +184,12 @@ def relabel_clusters(t):
     return clusters.relabel(t.chosen_from(), _merged(t)).select("idx", "cluster", "distance")
 
 
+@query()
+def two_phase_clusters(t):
+    """Density clusters of blocks of 2000 vectors with merged centroids; noise is -1."""
+    return density.two_phase(t.vectors(), 2000, 20, 10)
+
+
 @query(
     """WITH h AS (SELECT vec_id AS idx, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
     SELECT idx, round((e[1] + e[17] + e[49]) / 3, 6) AS m0, round((e[16] + e[32] + e[64]) / 3, 6) AS m15 FROM h"""
