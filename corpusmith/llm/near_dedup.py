@@ -45,7 +45,8 @@ DEPTHS = (2, 5)
 BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
 #: Members of a large cluster that are compared with all others first, and those that pass by a chunk in one task later.
 FIRST_LEADERS, LEADERS = 64, 65_536
-#: Nodes with more than ``LEAF`` documents whose list (24 bytes each) is broadcast, so that no task gets a node's rows.
+#: Nodes with more than ``LEAF`` documents, or large clusters, whose list (24 bytes each) is broadcast, so that no task gets
+#: the rows of one.
 HOT_NODES = 200_000
 SPACE = r"[\x20\x09-\x0D]+"
 SETS = "doc_id long, h long, n_shingles long, digest string, sig binary, nodes array<long>"
@@ -295,12 +296,17 @@ def _confirm(docs: DataFrame, clusters: DataFrame, classes: DataFrame, shingle:
     weight = clusters.join(classes.groupBy("rep").agg(F.sum("n_shingles").alias("w")), "rep")
     about = saved(weight.groupBy("comp").agg(F.count("*").alias("n"), F.sum("w").alias("w")), "about")
     fits = (F.col("n") <= BLOCK) & (F.col("w") <= BLOCK_SHINGLES)
-    ids = clusters.join(about, "comp")
+    n_large = about.filter(~fits).count()
+    listed = F.broadcast if n_large <= HOT_NODES else (lambda df: df)
+    # What is shuffled by cluster has the rows of small ones only, where the large ones can be listed.
+    rest = clusters.join(listed(about.filter(~fits).select("comp")), "comp", "left_anti") if n_large else clusters
+    ids = rest.join(about.filter(fits), "comp")
+    ids = ids.unionByName(clusters.join(listed(about.filter(~fits)), "comp")) if n_large else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null")
     members = saved(texts.join(ids, "rep"), "members")
     small = members.filter(fits).select("comp", "rep", "text").repartition("comp").sortWithinPartitions("comp", "rep")
     labels = small.mapInArrow(exact, "rep long, label long").groupBy("rep").agg(F.min("label").alias("label"))
-    if about.filter(~fits).isEmpty():
+    if not n_large:
         return labels
     large = members.filter(~fits).withColumn("chunks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int"))
     large = saved(large.withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int")).select("comp", "rep", "text", "chunks", "chunk"), "large")
@@ -313,10 +319,10 @@ def _confirm(docs: DataFrame, clusters: DataFrame, classes: DataFrame, shingle:
     placed = large.select("comp", "rep").distinct().join(found.select(F.col("node").alias("rep"), F.col("comp").alias("sub")), "rep", "left").withColumn("sub", F.coalesce("sub", "rep"))
     sizes = placed.groupBy("comp", "sub").agg(F.count("*").alias("m"))
     largest = sizes.groupBy("comp").agg(F.max(F.struct("m", "sub")).alias("top")).select("comp", F.col("top.sub").alias("top"))
-    outside = placed.join(largest, "comp").filter("sub <> top").select("comp", "rep")
+    outside = placed.join(listed(largest), "comp").filter("sub <> top").select("comp", "rep")
     turns = outside.withColumn("turn", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 30)))
     per = outside.groupBy("comp").agg(F.ceil(F.count("*") / LEADERS).alias("t"))
-    turns = turns.join(per, "comp").select("comp", "rep", F.expr("cast(turn % t as int)").alias("turn"))
+    turns = turns.join(listed(per), "comp").select("comp", "rep", F.expr("cast(turn % t as int)").alias("turn"))
     more = saved(_against(large, turns, shingle, percent), "links")
     whole = components(edges.unionByName(more))
     ends = large.select("rep").distinct().join(whole.select(F.col("node").alias("rep"), F.col("comp").alias("label")), "rep", "left")
@@ -348,7 +354,9 @@ def _against(large: DataFrame, leaders: DataFrame, shingle: int, percent: int) -
                     if len(to):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(to, rep)), pa.array(np.maximum(to, rep))], ["a", "b"])
 
+    leaders = saved(leaders, "leaders")
     turns = leaders.select("comp", "turn").distinct()
+    turns = F.broadcast(turns) if turns.count() <= HOT_NODES else turns
     members = large.join(turns, "comp").select("comp", "turn", "chunk", "rep", "text", F.lit(False).alias("lead"))
     heads = large.join(leaders, ["comp", "rep"]).select("comp", "turn", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "rep", "text", F.lit(True).alias("lead"))
     key = F.concat_ws(":", "comp", "turn", "chunk")
