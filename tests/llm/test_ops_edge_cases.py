@@ -370,10 +370,12 @@ def test_clusters_beyond_one_task(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "LEADERS", 7)
     monkeypatch.setattr(near_dedup, "LEAF", 8)
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 3, 0.85).collect()}
+    monkeypatch.setattr(near_dedup, "HOT_NODES", 0)  # nothing is listed by broadcast
+    unlisted = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 3, 0.85).collect()}
     from llm.plain import exact_components
 
     exact, _ = exact_components({r[0]: r[1] for r in rows}, 3, 85)
-    assert got == want == exact
+    assert got == want == unlisted == exact
 
 
 def test_components(spark):
