@@ -4,20 +4,22 @@ Every task builds shards of a bounded number of words: sorted term hashes (64 bi
 lists, document lengths. Document frequencies, the number of documents and their mean length are counted over all shards, so
 scores are global and the shards' results merge exactly.
 
-Within a shard a batch of queries is answered by block-max WAND on blocks of ``BLOCK`` documents, which all lists share: a
-cursor is moved by blocks, and the pivot test is made for a block. The lists of rare terms (a few postings in
-a block, hardly longer than their maxima) give exact partial scores; the maxima of the frequent terms' lists in a block, with its
-best partial score, bound what a document of it can reach. A query reads a block's frequent postings only if the bound
-reaches its threshold: the k-th best score so far, in this shard or (as the floor that is carried on) in the shards
+A task searches shards together, up to ``TOGETHER`` words. It orders their documents by kind (k-means on frequent words,
+which tells languages apart) and length, and cuts them into segments. In a segment the terms that documents and queries of
+this kind share often are columns of a matrix; all other postings stay in lists. Lists are read in full, for a batch of queries and
+a segment at once, and give exact partial scores. Columns are answered by block-max pruning: the maxima of the columns in a block of
+``BLOCK`` documents, with its best partial score, bound what a document of it can reach, and a query reads a block only if
+the bound reaches its threshold: the k-th best score so far, in these shards or (as the floor that is carried on) in those
 before. Blocks come in rounds, those with the highest bounds first, and thresholds rise between rounds. A block's live
-queries are scored by one matrix product. What reaches the k-th best is a candidate and scored in full, in double precision.
-Bounds are compared with a slack far above rounding, so nothing is lost. The classic order of
-single postings reads fewer of them (a test counts both: for whole texts 0.39 of all postings next to 0.96), but one after the
-other in interpreted code, where a matrix product takes a block's at once.
+queries are scored by one matrix product; queries are asked by kind as well, so that a batch leaves out the same blocks. What
+reaches the k-th best is a candidate and scored in full, in double precision. Bounds are compared with a slack far above
+rounding, so nothing is lost. The classic order of single postings reads fewer of them (a test counts both), but one after
+the other in interpreted code, where a matrix product takes a block's at once.
 
 Shards belong to one of ``groups`` groups (of ``GROUP_SHARDS`` at most), and queries to chunks of about ``MAX_TERMS`` terms, as many as there are. A
-task has one chunk and the shards of one group, which pass by one at a time; it carries the floors along and
-emits a query's k best once, so hits are queries x groups x k. Queries and shards reach it by the shuffle, nothing by the driver.
+task has one chunk and the shards of one group; it carries the floors along and emits a query's k best once, so hits
+are queries x groups x k. Queries and shards reach it by the shuffle, nothing by the driver. Every chunk shuffles the
+whole index once more, so chunks are as large as a worker's memory bears.
 
 Edge cases: a document without words, or with a null text, is never found, and as a query finds nothing; rows with
 a null id are neither queries nor found; equal scores are ordered by id; repeated rows are found each; documents that share
@@ -38,18 +40,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, sliced
-from .near_dedup import SPACE
 
 K1, B, K = 1.2, 0.75, 10
 #: Words and documents after which a shard is closed, documents of a block, terms of a chunk of queries.
-SHARD_WORDS, SHARD_DOCS, BLOCK, MAX_TERMS = 3_000_000, 60_000, 128, 2_000_000
+SHARD_WORDS, SHARD_DOCS, BLOCK, MAX_TERMS = 5_000_000, 60_000, 128, 7_000_000
+#: Words of the shards that are searched together (their documents are SHARD_DOCS at most, or those of one shard).
+TOGETHER = 5_000_000
 #: Groups of shards at least, and shards of a group at most, which bound a task.
 GROUPS, GROUP_SHARDS = 8, 64
 #: Rounds in which a shard's blocks are read: the share that each adds.
 ROUNDS = (0.1, 0.3, 1.0)
-#: A term in at least one of OFTEN documents is frequent; scores that a batch of queries holds; relative slack of bounds
-#: (sums of frequent terms are in single precision); decimals of a score.
-OFTEN, CELLS, SLACK, DIGITS = 16, 500_000, 1e-4, 6
+#: Scores that a batch of queries holds; relative slack of bounds (sums are in single precision); decimals of a score.
+CELLS, SLACK, DIGITS = 4_000_000, 1e-4, 6
+#: Kinds of documents that order a shard, the terms that tell them apart, documents of a segment.
+KINDS, SIGNS, SEGMENT = 8, 256, 2048
+#: A term is a column of a segment if its share of the segment's documents times that of the kind's is at least this (a
+#: posting from a list costs about as much as this many cells of a product) and if so many documents have it; cells of all columns.
+WORTH, FEW, DENSE = 1 / 2000, 8, 12_000_000
 #: Documents, terms, postings and bytes of a shard, which follow compressed.
 HEAD, CODEC = struct.Struct("<qqqq"), pa.Codec("zstd", compression_level=1)
 
@@ -58,7 +65,7 @@ def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The words of all texts in a row as hashes, and the document of each."""
     import xxhash
 
-    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), SPACE)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     at = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
@@ -78,114 +85,223 @@ def build(ids: np.ndarray, hashes: np.ndarray, docs: np.ndarray) -> bytes:
     rank = np.empty(len(ids), np.int64)
     rank[order] = np.arange(len(ids))
     terms, code = np.unique(hashes, return_inverse=True)
-    key, tf = np.unique(code.reshape(-1).astype(np.uint64) * np.uint64(len(ids)) + rank[docs].astype(np.uint64), return_counts=True)
-    term, doc = key // np.uint64(max(1, len(ids))), key % np.uint64(max(1, len(ids)))
-    ptr = np.searchsorted(term, np.arange(len(terms) + 1, dtype=np.uint64))
+    key, tf = np.unique(code.reshape(-1).astype(np.uint64) << np.uint64(16) | rank[docs].astype(np.uint64), return_counts=True)
+    ptr = np.searchsorted(key >> np.uint64(16), np.arange(len(terms) + 1, dtype=np.uint64))
+    doc = (key & np.uint64(0xFFFF)).astype(np.int64)
     length = np.bincount(rank[docs], minlength=len(ids))
-    parts = ids[order].astype("<i8"), length.astype("<i4"), terms.astype("<u8"), ptr.astype("<i4"), doc.astype("<u2"), tf.astype("<u4")
+    # Steps from one document of a list to the next compress well, in particular with their bytes apart.
+    step = np.diff(doc, prepend=0)
+    step[ptr[:-1]] = doc[ptr[:-1]]
+    parts = ids[order].astype("<i8"), length.astype("<i4"), terms.astype("<u8"), ptr.astype("<i4"), (step & 255).astype("u1"), (step >> 8).astype("u1"), tf.astype("<u4")
     raw = b"".join(p.tobytes() for p in parts)
     return HEAD.pack(len(ids), len(terms), len(key), len(raw)) + CODEC.compress(raw, asbytes=True)
 
 
-class Shard:
-    """A shard ready to be searched with global statistics."""
+def unpack(data: bytes | pa.Buffer) -> tuple[np.ndarray, ...]:
+    """A shard's documents' ids and lengths, its terms, where their lists begin, the lists' documents and counts."""
+    n, t, p, size = HEAD.unpack_from(data)
+    data, at = CODEC.decompress(memoryview(data)[HEAD.size :], size), 0
 
-    def __init__(self, data: bytes, mean_length: float | None = None):
-        n, t, p, size = HEAD.unpack_from(data)
-        data, at = CODEC.decompress(memoryview(data)[HEAD.size :], size), 0
+    def take(kind: str, count: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(data, kind, count, at)
+        at += out.nbytes
+        return out
 
-        def take(kind: str, count: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(data, kind, count, at)
-            at += out.nbytes
-            return out
+    ids, length, terms = take("<i8", n), take("<i4", n), take("<u8", t)
+    ptr, low, high, tf = take("<i4", t + 1).astype(np.int64), take("u1", p), take("u1", p), take("<u4", p)
+    total = np.cumsum(high.astype(np.int64) << 8 | low)
+    before = np.concatenate([[0], total])[ptr[:-1]]
+    return ids, length, terms, ptr, (total - np.repeat(before, np.diff(ptr))).astype(np.int32), tf
 
-        self.ids, self.length, self.terms = take("<i8", n), take("<i4", n), take("<u8", t)
-        self.ptr, self.docs, tf = take("<i4", t + 1).astype(np.int64), take("<u2", p), take("<u4", p)
-        if mean_length is None:
-            return
-        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * self.length / mean_length))[self.docs])
-        term = np.repeat(np.arange(t, dtype=np.int32), np.diff(self.ptr))
-        # Frequent terms as columns of documents, and their maxima in every block.
-        often = np.flatnonzero(np.diff(self.ptr) >= max(OFTEN, n // OFTEN))
-        self.column = np.full(t, -1)
-        self.column[often] = np.arange(len(often))
-        self.blocks = -(-n // BLOCK)
-        self.dense = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
-        use = self.column[term] >= 0
-        self.dense[self.docs[use], self.column[term[use]]] = self.impact[use]
-        self.block_max = self.dense.reshape(self.blocks, BLOCK, len(often)).max(1)
-        # The documents' own terms, for candidates.
-        order = np.argsort(self.docs, kind="stable")
-        self.own_term, self.own_impact = term[order], self.impact[order]
-        self.own_ptr = np.searchsorted(self.docs[order], np.arange(n + 1))
+
+class Shard:
+    """One shard, or some together, ready to be searched with global statistics; of their terms, those in ``terms``
+    (sorted) if that is given."""
+
+    def __init__(self, data: bytes | list[tuple[np.ndarray, ...]], mean_length: float, terms: np.ndarray | None = None):
+        parts = data if isinstance(data, list) else [unpack(data)]
+        self.ids, self.length = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        self.terms = np.unique(np.concatenate([p[2] for p in parts])) if terms is None else terms
+        n, t = len(self.ids), len(self.terms)
+        self.size, places = np.zeros(t, np.int64), []
+        for _, _, own, ptr, _, _ in parts:
+            place = np.minimum(np.searchsorted(self.terms, own), max(0, t - 1))
+            here = self.terms[place] == own if t else np.zeros(len(own), bool)
+            places.append((place[here], here))
+            self.size[place[here]] += np.diff(ptr)[here]
+        self.ptr = np.concatenate([[0], np.cumsum(self.size)])
+        # The parts' lists of a term stand one after the other.
+        self.docs, self.impact, free, base = np.empty(self.ptr[-1], np.int32), np.empty(self.ptr[-1]), self.ptr[:-1].copy(), 0
+        norm = self.norm = K1 * (1 - B + B * self.length / mean_length)
+        counts = np.empty(self.ptr[-1], np.float32)
+        while parts:
+            (ids, _, _, ptr, docs, tf), (place, here) = parts.pop(0), places.pop(0)
+            count = np.diff(ptr)
+            kept = np.repeat(here, count)
+            docs, tf, count = docs[kept] + np.int32(base), tf[kept], count[here]
+            to = np.repeat(free[place] - (np.cumsum(count) - count), count) + np.arange(len(docs))
+            self.docs[to] = docs
+            self.impact[to], counts[to] = tf * (K1 + 1) / (tf + norm[docs]), tf
+            free[place] += count
+            base += len(ids)
+        # Documents by kind, the longest of a kind first, in segments of whole blocks; each has a place in this order.
+        kind = self._kinds(n)
+        order = np.lexsort((-self.length, kind))
+        cuts = [c for part in np.split(np.arange(n), np.searchsorted(kind[order], np.arange(1, KINDS))) for c in np.split(part, range(SEGMENT, len(part), SEGMENT)) if len(c)]
+        starts = np.concatenate([[0], np.cumsum([-(-len(c) // BLOCK) for c in cuts])]).astype(np.int64)
+        self.blocks = int(starts[-1])
+        self.width = self.blocks * BLOCK
+        self.at_place = np.full(self.width, -1)
+        for c, start in zip(cuts, starts * BLOCK):
+            self.at_place[start : start + len(c)] = order[c]
+        place = np.empty(n, np.int32)
+        place[self.at_place[self.at_place >= 0]] = np.flatnonzero(self.at_place >= 0)
+        # A segment's frequent terms as columns, and their maxima in every block; the other postings stay in lists.
+        code, part = np.repeat(np.arange(t, dtype=np.int32), self.size), np.zeros(n, np.uint16)
+        for i, c in enumerate(cuts):
+            part[order[c]] = i
+        part = part[self.docs]
+        by_part, first = np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=len(cuts)))])
+        count = [np.bincount(code[by_part[a:z]], minlength=t) for a, z in zip(first, first[1:])]
+        self.segments, of = [], [int(kind[order[c[0]]]) for c in cuts]
+        share = {j: sum(x for x, i in zip(count, of) if i == j) / (kind == j).sum() for j in set(of)}
+        for i, (c, a, z) in enumerate(zip(cuts, starts[:-1].tolist(), starts[1:].tolist())):
+            own, gain = by_part[first[i] : first[i + 1]], count[i] * share[of[i]] / len(c)
+            often = np.flatnonzero((gain >= WORTH) & (count[i] >= FEW))
+            often = np.sort(often[np.argsort(-gain[often], kind="stable")[: max(1, DENSE // max(1, self.blocks)) // BLOCK]])
+            column = np.full(t, -1, np.int32)
+            column[often] = np.arange(len(often))
+            spot = column[code[own]]
+            use = own[spot >= 0]
+            dense = np.zeros(((z - a) * BLOCK, len(often)), np.float32)
+            dense[place[self.docs[use]] - a * BLOCK, spot[spot >= 0]] = self.impact[use]
+            # In the table of columns, lists go below -1.
+            held = own[spot < 0]
+            begin = np.flatnonzero(np.diff(code[held], prepend=-1))
+            column[code[held[begin]]] = -2 - np.arange(len(begin), dtype=np.int32)
+            lists = np.append(begin, len(held)), place[self.docs[held]] - np.int32(a * BLOCK), self.impact[held].astype(np.float32)
+            self.segments.append((a, z, column, dense, dense.reshape(z - a, BLOCK, -1).max(1), lists))
+        # The documents' own terms and how often they occur, for candidates.
+        order = np.argsort(self.docs.astype(np.uint16) if n <= 1 << 16 else self.docs, kind="stable")
+        self.own_tf, self.own_term = counts[order], code[order]
+        self.own_ptr = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=n))])
         self.weight = np.zeros(t)
         self.counted: list[int] | None = None  # postings of the queries' terms here, and those that were read
 
+    def _kinds(self, n: int) -> np.ndarray:
+        """A number for every document, alike for those that share frequent words (say, a language): a few rounds of
+        k-means on the most frequent terms. It only orders documents; no result depends on it."""
+        self.signs = np.argsort(-self.size, kind="stable")[:SIGNS]
+        rows = np.zeros((n, len(self.signs)), np.float32)
+        for j, t in enumerate(self.signs):
+            rows[self.docs[self.ptr[t] : self.ptr[t + 1]], j] = 1
+        many = rows.sum(1)
+        rows /= np.maximum(1, np.sqrt(many))[:, None]
+        # Each start is the document, of those with many such terms, that is least like those before it.
+        start, like = [], np.where(many >= np.median(many) if n else many > 0, 0, 2).astype(np.float32)
+        for _ in range(min(KINDS, n)):
+            start.append(int(np.argmin(like)))
+            like = np.maximum(like, rows @ rows[start[-1]])
+        self.means = rows[start]
+        for _ in range(4 if n else 0):
+            near = (rows @ self.means.T).argmax(1)
+            self.means = np.stack([rows[near == j].sum(0) for j in range(len(start))])
+            self.means /= np.maximum(1e-9, np.linalg.norm(self.means, axis=1, keepdims=True))
+        return (rows @ self.means.T).argmax(1) if n else np.zeros(0, np.int64)
+
+    def kinds_of(self, at: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """The kind of each query, so that like ones can be asked together."""
+        sign = np.full(len(self.terms), -1, np.int32)
+        sign[self.signs] = np.arange(len(self.signs))
+        sign, query = sign[term], np.repeat(np.arange(len(at) - 1), np.diff(at))
+        like = [np.bincount(query[sign >= 0], m[sign[sign >= 0]], len(at) - 1) for m in self.means]
+        return np.argmax(like, 0) if like else np.zeros(len(at) - 1, np.int64)
+
     def count(self) -> None:
         """From now on, keep count of postings (for tests)."""
-        self.counted, self.filled = [0, 0], (self.dense.reshape(self.blocks, BLOCK, -1) > 0).sum(1)
+        self.counted = [0, 0]
 
     def search(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, floors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For queries (the terms from ``at[q]`` to ``at[q + 1]``, by ordinal, with their weights): number of the
         query, documents and scores of its top k among those that reach its floor. Queries without any are left out."""
-        step = max(4, min(256, CELLS // max(1, self.blocks * BLOCK)))
+        step = max(4, min(256, CELLS // max(1, self.width)))
         for a in range(0, len(at) - 1, step):
             ends = at[a : a + step + 1]
             yield from self._some(a, ends - ends[0], term[ends[0] : ends[-1]], weight[ends[0] : ends[-1]], k, floors[a : a + step])
 
     def _some(self, first: int, at: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, floors: np.ndarray):
-        g, n, width = len(at) - 1, len(self.ids), self.blocks * BLOCK
-        if not len(term) or not n:
+        g = len(at) - 1
+        if not len(term) or not self.blocks:
             return
-        query = np.repeat(np.arange(g), np.diff(at))
-        column = self.column[term]
-        rare = np.flatnonzero(column < 0)
-        # Rare lists are read in full.
-        begin, size = self.ptr[term[rare]], np.diff(self.ptr)[term[rare]]
-        total = np.cumsum(size)
-        flat = np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)
-        sums = np.bincount(np.repeat(query[rare] * width, size) + self.docs[flat], np.repeat(weight[rare], size) * self.impact[flat], g * width)
-        sums = sums.astype(np.float64).reshape(g, width)
-        # Of the frequent ones, only blocks whose maxima can reach the threshold.
-        w = np.zeros((g, self.dense.shape[1]), np.float32)
-        w[query[column >= 0], column[column >= 0]] = weight[column >= 0]
-        tiles = sums.reshape(g, self.blocks, BLOCK)
-        peaks = tiles.max(2)
-        best, least = w @ self.block_max.T + peaks, floors
-        order = np.argsort(-(best - floors[:, None]).max(0), kind="stable")
+        sums = np.empty((g, self.width), np.float32)
+        tiles, peaks, best = sums.reshape(g, self.blocks, BLOCK), np.empty((g, self.blocks), np.float32), np.empty((g, self.blocks), np.float32)
+        least, asked, query, single = floors, {}, np.repeat(np.arange(g), np.diff(at)), weight.astype(np.float32)
+        for a, z, column, dense, block_max, (ptr, docs, impact) in self.segments:
+            spot, span = column[term], (z - a) * BLOCK
+            # What stays in lists is read in full.
+            use = np.flatnonzero(spot < -1)
+            begin = ptr[-2 - spot[use]]
+            size = ptr[-1 - spot[use]] - begin
+            total = np.cumsum(size)
+            flat = np.arange(total[-1] if len(total) else 0)
+            flat += np.repeat(begin - (total - size), size)
+            cell, score = docs[flat], impact[flat]
+            cell += np.repeat((query[use] * span).astype(np.int32), size)
+            score *= np.repeat(single[use], size)
+            sums[:, a * BLOCK : z * BLOCK] = np.bincount(cell, score, g * span).reshape(g, span)
+            peaks[:, a:z] = tiles[:, a:z].max(2)
+            # Of the columns, only blocks whose maxima can reach the threshold.
+            use = np.flatnonzero(spot >= 0)
+            w = np.zeros((g, dense.shape[1]), np.float32)
+            w[query[use], spot[use]] = single[use]
+            best[:, a:z] = w @ block_max.T
+            asked |= {b: (w, dense[(b - a) * BLOCK : (b - a + 1) * BLOCK]) for b in range(a, z)}
+            if self.counted is not None:
+                self.counted[1] += len(flat)
+        best += peaks
         if self.counted is not None:
-            self.counted[0] += int(size.sum()) + int(((w > 0) @ self.filled.T).sum())
-            self.counted[1] += int(size.sum())
+            self.counted[0] += int(self.size[term].sum())
+        order = np.argsort(-(best - floors[:, None]).max(0), kind="stable").tolist()
         done = 0
         for share in ROUNDS:
             least = np.maximum(least, _kth(sums, peaks, k))
             live = best >= (least - SLACK * np.maximum(1, least))[:, None]
             stop = min(self.blocks, done + max(1, round(share * self.blocks)))
             for b in order[done:stop]:
-                q = np.flatnonzero(live[:, b])
+                q, (w, dense) = np.flatnonzero(live[:, b]), asked[b]
                 if not len(q):
                     continue
-                tiles[q, b] += w[q] @ self.dense[b * BLOCK : (b + 1) * BLOCK].T
-                peaks[q, b] = tiles[q, b].max(1)
                 if self.counted is not None:
-                    self.counted[1] += int(((w[q] > 0) @ self.filled[b]).sum())
+                    self.counted[1] += int(((w[q] > 0) @ (dense > 0).sum(0)).sum())
+                if len(q) > 0.7 * g and self.counted is None:
+                    tiles[:, b] += w @ dense.T
+                    peaks[:, b] = tiles[:, b].max(1)
+                else:
+                    tile = tiles[q, b] + w[q] @ dense.T
+                    tiles[q, b], peaks[q, b] = tile, tile.max(1)
             done = stop
         least = np.maximum(least, _kth(sums, peaks, k))
         least -= SLACK * np.maximum(1, least)
-        found = np.zeros(sums.shape, bool)
-        near = np.nonzero(peaks >= least[:, None])
-        found.reshape(tiles.shape)[near] = (tiles[near] > 0) & (tiles[near] >= least[near[0], None])
-        owner, docs = np.nonzero(found)
+        owner, block = np.nonzero((peaks > 0) & (peaks >= least[:, None]))
+        near = tiles[owner, block]
+        row, inside = np.nonzero((near > 0) & (near >= least[owner, None]))
+        owner, docs, rough = owner[row], self.at_place[block[row] * BLOCK + inside], near[row, inside]
         ends = np.searchsorted(owner, np.arange(g + 1))
         for q in np.unique(owner):
             cand, a, z = docs[ends[q] : ends[q + 1]], at[q], at[q + 1]
+            if len(cand) > k:
+                score = rough[ends[q] : ends[q + 1]]
+                bound = np.partition(score, len(cand) - k)[-k]
+                cand = cand[score >= bound - SLACK * max(1, bound)]
             # Scored in full, each document by its own terms in one fixed order.
             self.weight[term[a:z]] = weight[a:z]
             size = self.own_ptr[cand + 1] - self.own_ptr[cand]
             stop = np.cumsum(size)
             flat = np.repeat(self.own_ptr[cand] - (stop - size), size) + np.arange(stop[-1])
-            scores = np.round(np.add.reduceat(self.weight[self.own_term[flat]] * self.own_impact[flat], stop - size), DIGITS)
+            tf = self.own_tf[flat].astype(np.float64)
+            impact = tf * (K1 + 1) / (tf + np.repeat(self.norm[cand], size))
+            scores = np.round(np.add.reduceat(self.weight[self.own_term[flat]] * impact, stop - size), DIGITS)
             self.weight[term[a:z]] = 0
             top = np.lexsort((self.ids[cand], -scores))[:k]
             yield first + int(q), cand[top], scores[top]
@@ -249,7 +365,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, groups: int = GROUPS
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(s.terms, np.diff(s.ptr)) for s in map(Shard, batch.column(0).to_pylist())]
+            own = [(s[2], np.diff(s[3])) for s in map(unpack, batch.column(0).to_pylist())]
             if own:
                 terms, at = np.unique(np.concatenate([t for t, _ in own]), return_inverse=True)
                 sums = np.bincount(at.reshape(-1), np.concatenate([c for _, c in own]), len(terms)).astype(np.int64)
@@ -276,25 +392,27 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, groups: int = GROUPS
 
 
 class Chunk:
-    """A chunk of queries, with the best that each has found so far."""
+    """A chunk of queries, with the best that each has found so far. Its terms are numbered once, for all shards."""
 
     def __init__(self, parts: list[pa.RecordBatch], k: int):
         self.qids = np.concatenate([p.column("qid").to_numpy() for p in parts])
         lists = [p.column("h") for p in parts]
         self.at = np.concatenate([[0], np.cumsum(np.concatenate([pc.list_value_length(x).to_numpy() for x in lists]))])
-        self.h = np.concatenate([x.flatten().to_numpy() for x in lists]).view(np.uint64)
         self.w = np.concatenate([p.column("w").flatten().to_numpy() for p in parts])
-        self.k, self.floors = k, np.zeros(len(self.qids))
+        self.terms, term = np.unique(np.concatenate([x.flatten().to_numpy() for x in lists]).view(np.uint64), return_inverse=True)
+        self.term = term.reshape(-1).astype(np.int32)
+        self.k, self.floors, self.dealt = k, np.zeros(len(self.qids)), False
         self.best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def see(self, shard: Shard) -> None:
-        if not len(shard.terms):
-            return
-        place = np.searchsorted(shard.terms, self.h)
-        place[place == len(shard.terms)] = 0
-        here = shard.terms[place] == self.h
-        ends = np.concatenate([[0], np.cumsum(here)])[self.at]
-        for q, docs, scores in shard.search(ends, place[here], self.w[here], self.k, self.floors):
+    def see(self, parts: list[tuple[np.ndarray, ...]], mean: float) -> None:
+        shard = Shard(parts, mean, self.terms)
+        if not self.dealt:  # like queries are asked together
+            order, self.dealt = np.argsort(shard.kinds_of(self.at, self.term), kind="stable"), True
+            size = np.diff(self.at)[order]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            flat = np.repeat(self.at[order] - ends[:-1], size) + np.arange(ends[-1])
+            self.qids, self.at, self.term, self.w = self.qids[order], ends, self.term[flat], self.w[flat]
+        for q, docs, scores in shard.search(self.at, self.term, self.w, self.k, self.floors):
             ids = shard.ids[docs]
             if q in self.best:
                 ids, scores = np.concatenate([self.best[q][0], ids]), np.concatenate([self.best[q][1], scores])
@@ -314,13 +432,20 @@ def _answer(mean: float, k: int):
     """What a task does: for each key, gather its queries, let its shards pass, emit the hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts, chunk = None, [], None
+        key, parts, chunk, held = None, [], None, []
+
+        def see() -> None:
+            nonlocal held
+            if held:
+                held = chunk.see(held, mean) or []
+
         for batch in batches:
             keys, kinds = batch.column("key").to_numpy(), batch.column("kind").to_numpy()
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(keys)] if len(keys) else []
             for a, z in zip(cuts, cuts[1:]):
                 if keys[a] != key:
                     if chunk:
+                        see()
                         yield from chunk.rows()
                     key, parts, chunk = keys[a], [], None
                 if kinds[a] == 0:
@@ -328,8 +453,13 @@ def _answer(mean: float, k: int):
                 elif parts or chunk:
                     chunk, parts = chunk or Chunk(parts, k), []
                     for i in range(a, z):
-                        chunk.see(Shard(batch.column("payload")[i].as_buffer(), mean))
+                        shard = unpack(batch.column("payload")[i].as_buffer())
+                        # Small shards are searched together.
+                        if sum(int(p[1].sum()) for p in [*held, shard]) > TOGETHER or sum(len(p[0]) for p in [*held, shard]) > SHARD_DOCS:
+                            see()
+                        held.append(shard)
         if chunk:
+            see()
             yield from chunk.rows()
 
     return run
