@@ -564,3 +564,60 @@ def test_pruned_search_is_exact():
         here = (at < len(s.terms)) & (s.terms[np.minimum(at, len(s.terms) - 1)] == terms[q])
         got = [(-b, a) for _, docs, scores in s.search(np.array([0, here.sum()]), at[here], weight[here], 10, np.zeros(1)) for a, b in zip(s.ids[docs], scores)]
         assert got == [(x, i) for x, i in sorted(want)[:10]]
+
+
+def mixed_shard(n=1600, kinds=3):
+    """Documents of some kinds, each with words of its own, and their plain scores against whole texts of every fifth."""
+    rng = np.random.default_rng(8)
+    terms = np.unique(rng.integers(0, 2**63, 400 * kinds).astype(np.uint64))
+    p = (p := 1 / np.arange(1, 401)) / p.sum()
+    words = [400 * (i % kinds) + rng.choice(400, rng.integers(1, 120), p=p) for i in range(n)]
+    words[1::7] = words[:1] * len(words[1::7])  # equal scores
+    counts = np.zeros((n, len(terms)))
+    np.add.at(counts, (np.repeat(np.arange(n), list(map(len, words))), np.concatenate(words)), 1)
+    length = counts.sum(1)
+    impact = counts * 2.2 / (counts + 1.2 * (0.25 + 0.75 * length / length.mean())[:, None])
+    ids, weight = rng.permutation(10_000)[:n].astype(np.int64), counts[::5] * rng.random(len(terms)) * 5
+    data = topk_search.build(ids, terms[np.concatenate(words)], np.repeat(np.arange(n), list(map(len, words))))
+    query, term = np.nonzero(weight)
+    return topk_search.Shard(data, length.mean()), ids, np.searchsorted(query, np.arange(len(weight) + 1)), term, weight[query, term], weight @ impact.T, terms
+
+
+@pytest.mark.parametrize("n, sizes", [(1600, {}), (1600, {"BATCH": 20, "SEGMENT": 256, "READ": 64, "KINDS": 3}), (1600, {"DENSE": 10_000, "MANY": 999}), (500, {})])
+def test_batches_of_queries_are_answered_exactly(monkeypatch, n, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(topk_search, name, value)
+    s, ids, at, term, weight, scores, terms = mixed_shard(n)
+    term = np.searchsorted(s.terms, terms)[term]
+    floors = np.zeros(len(scores))
+    for again in range(2):  # the second time with the floors that a task carries on
+        got = {q: list(zip((-x).tolist(), s.ids[docs].tolist())) for q, docs, x in s.search(at, term, weight, 10, floors)}
+        for q, row in enumerate(scores):
+            best = sorted((-round(x, 6), i) for x, i in zip(row.tolist(), ids.tolist()) if x > 0)[:10]
+            assert [i for _, i in got[q]] == [i for _, i in best] and [x for x, _ in got[q]] == pytest.approx([x for x, _ in best], abs=2e-6)
+            floors[q] = -best[-1][0] if len(best) == 10 else 0
+
+
+def test_few_documents_are_scored_in_full():
+    """Of the candidates, only those that can be among the k best (equal ones besides)."""
+
+    class Asked(np.ndarray):
+        def __getitem__(self, i):
+            seen.append(i)
+            return np.asarray(self)[i]
+
+    s, ids, at, term, weight, scores, terms = mixed_shard()
+    s.own_ptr, seen = s.own_ptr.view(Asked), []
+    list(s.search(at, np.searchsorted(s.terms, terms)[term], weight, 10, np.zeros(len(scores))))
+    tenth = np.sort(scores, 1)[:, -10, None]
+    assert sum(map(len, seen)) / 2 <= 1.2 * (scores >= np.maximum(tenth * (1 - 1e-3), 1e-9)).sum()
+
+
+def test_split_words_and_hashes_agree():
+    """A shard is the same from every word's hash and from distinct hashes with places, empty words left out."""
+    texts = pa.array(["B a\x0b\x0cb", "", None, " \t a  É\r\n", "x\x1cy"])
+    own, index, docs = topk_search.coded_words(texts)
+    h, d = topk_search.term_hashes(texts)
+    assert docs.tolist() == d.tolist() == [0, 0, 0, 3, 3, 4] and h[0] == h[2] and h[1] == h[3] and len(set(h.tolist())) == 4
+    ids = np.arange(5)[::-1].copy()
+    assert topk_search.build(ids, h, d) == topk_search.build(ids, own, docs, index)
